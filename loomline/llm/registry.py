@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import decontaminate, language_id, licenses, mixing, secrets
+from loomline.llm import decontaminate, language_id, licenses, mixing, secrets, substring_dedup, suffix_dedup
 from loomline.session import ship_package
 
 
@@ -18,8 +18,10 @@ def _shipped(query):
 QUERIES = {
     name: _shipped(query)
     for name, query in {
+        "op1_substring_dedup": substring_dedup.query,
         "op3_decontaminate": decontaminate.query,
         "op5_license_scan": licenses.query,
+        "op7_suffix_dedup": suffix_dedup.query,
         "op8_mixture": mixing.query,
         "op9_language_id": language_id.query,
         "op10_secret_scan": secrets.query,
