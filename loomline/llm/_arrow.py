@@ -38,3 +38,18 @@ def text_slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int,
             buf = raw[off[a] : off[b]]
         yield a, b, buf, np.concatenate(([0], np.cumsum(size[a:b])))
         a = b
+
+
+def slice_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of a slice, and the first word of each row (with a last entry: the number of words)."""
+    from loomline.llm._text import _SPACE
+
+    if not len(buf):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
+    space, edge = _SPACE[buf], np.zeros(len(buf), bool)
+    edge[off[:-1][np.diff(off) > 0]] = True
+    begins, ends = ~space, ~space
+    begins[1:] &= space[:-1] | edge[1:]
+    ends[:-1] &= space[1:] | edge[1:]
+    start = np.flatnonzero(begins)
+    return start, np.flatnonzero(ends) + 1, np.searchsorted(start, off)

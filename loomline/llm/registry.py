@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import decontaminate, language_id, licenses, mixing, secrets, substring_dedup, suffix_dedup
+from loomline.llm import decontaminate, language_id, licenses, mixing, near_dedup, secrets, substring_dedup, suffix_dedup
 from loomline.session import ship_package
 
 
@@ -21,6 +21,7 @@ QUERIES = {
         "op1_substring_dedup": substring_dedup.query,
         "op3_decontaminate": decontaminate.query,
         "op5_license_scan": licenses.query,
+        "op6_near_dedup": near_dedup.query,
         "op7_suffix_dedup": suffix_dedup.query,
         "op8_mixture": mixing.query,
         "op9_language_id": language_id.query,
