@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomline.llm import decontaminate, language_id, licenses, mixing, near_dedup, secrets, substring_dedup, suffix_dedup
+from loomline.llm import ann, decontaminate, language_id, licenses, lm_scoring, mixing, near_dedup, secrets, substring_dedup, suffix_dedup
 from loomline.session import ship_package
 
 
@@ -19,7 +19,9 @@ QUERIES = {
     name: _shipped(query)
     for name, query in {
         "op1_substring_dedup": substring_dedup.query,
+        "op2_lm_score": lm_scoring.query,
         "op3_decontaminate": decontaminate.query,
+        "op4_nearest": ann.query,
         "op5_license_scan": licenses.query,
         "op6_near_dedup": near_dedup.query,
         "op7_suffix_dedup": suffix_dedup.query,
