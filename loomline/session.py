@@ -34,3 +34,15 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(p, p.relative_to(root.parent))
     sc.addPyFile(path)
     sc._loomline_shipped = True
+
+
+def checkpointed(df):
+    """``df.checkpoint()`` in the shared folder; a local session without one gets a temporary folder."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomline-"))
+    return df.checkpoint()
