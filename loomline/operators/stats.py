@@ -93,10 +93,10 @@ def category_stats(cases: DataFrame) -> DataFrame:
 
 
 def consistency(cases: DataFrame) -> DataFrame:
-    """1 / (1 + size-weighted variance of the error in three closed ranges of
+    """1 / (1 + size-weighted variance of actual values in three closed ranges of
     expected values); a row on a boundary counts in both; 0.5 if no range has two rows."""
     ranges = F.array(*(F.struct(F.lit(x).alias("lo"), F.lit(y).alias("hi")) for x, y in ((0.0, 0.3), (0.3, 0.7), (0.7, 1.0))))
-    per = measured(cases).withColumn("r", F.explode(ranges)).filter("expected >= r.lo AND expected <= r.hi").groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.var_pop("error").alias("v")).filter("n >= 2")
+    per = measured(cases).withColumn("r", F.explode(ranges)).filter("expected >= r.lo AND expected <= r.hi").groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.var_pop("actual").alias("v")).filter("n >= 2")
     return per.agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).select(F.coalesce(1 / (1 + F.col("v")), F.lit(0.5)).alias("consistency"))
 
 

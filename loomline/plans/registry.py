@@ -200,7 +200,7 @@ def q_category_stats(spark, sf_dir):
     return stats.category_stats(_cases(spark, sf_dir)).select("category", "n", *_r("mean_error", "median_error", "sd_error", "mean_expected", "mean_actual"), "worst_idx", "best_idx")
 
 
-@_named(f"WITH {CASES_SQL}, r AS (SELECT * FROM (VALUES (0.0, 0.3), (0.3, 0.7), (0.7, 1.0)) t(lo, hi)), p AS (SELECT lo, count(*) AS n, var_pop(error) AS v FROM m JOIN r ON expected >= lo AND expected <= hi GROUP BY lo HAVING count(*) >= 2) SELECT round(coalesce(1 / (1 + sum(v * n) / sum(n)), 0.5), 6) AS consistency FROM p")
+@_named(f"WITH {CASES_SQL}, r AS (SELECT * FROM (VALUES (0.0, 0.3), (0.3, 0.7), (0.7, 1.0)) t(lo, hi)), p AS (SELECT lo, count(*) AS n, var_pop(actual) AS v FROM m JOIN r ON expected >= lo AND expected <= hi GROUP BY lo HAVING count(*) >= 2) SELECT round(coalesce(1 / (1 + sum(v * n) / sum(n)), 0.5), 6) AS consistency FROM p")
 def q_consistency(spark, sf_dir):
     return stats.consistency(_cases(spark, sf_dir)).select(*_r("consistency"))
 
