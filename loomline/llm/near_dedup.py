@@ -11,7 +11,12 @@ signatures are compared. Retained pairs are confirmed on full sets.
 
 All pairs of a list are never made. First every member is compared with one
 member of its list (twice, with different ones); what is confirmed joins
-classes, and only pairs of different classes go on.
+classes, and only pairs of different classes go on. Lists of at most ``SHORT``
+members make their remaining pairs. The members of longer lists (a family of
+versions of one text that are mostly less similar than ``percent``) are merged
+by the prefixes of their full sets instead (:func:`prefix_pairs`), which loses
+no similar pair either, and are compared by a finer signature before any text
+is sent.
 
 Defined results: without words or text the set is empty and linked with
 nothing; equal sets are one class whatever their number; rows that share an id
@@ -38,6 +43,10 @@ U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEEDS = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, 256, dtype=np.uint64)
+#: Members up to which a posting list makes its pairs: at most SHORT / 2 rows a posting.
+SHORT = 32
+#: Coordinates of the finer signature, a byte each, after those of the first; a pair is missed with a chance under 1e-8.
+FINE = 192
 
 
 def chance_missed(coordinates: int, matches: int, similarity: float) -> float:
@@ -86,6 +95,72 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, coordina
     return rows.mapInArrow(run, "id long, n_shingles long, s1 long, s2 long, sig array<int>")
 
 
+def least_matches(coordinates: int, similarity: float, chance: float = 1e-8) -> int:
+    """The most matches that sets of this similarity fall short of with at most this chance."""
+    return max(k for k in range(coordinates + 1) if chance_missed(coordinates, k, similarity) <= chance)
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels among members (rep, label) that may be similar.
+
+    Shingles are ordered by the number of members that have them. Similar sets
+    x and y, x not larger, share 2 * percent / (100 + percent) of x and percent
+    of y, so their first common shingle is in x's first and y's first
+    remaining ones. Shingles of one member come first and are never posted:
+    a version with enough text of its own meets nothing. The join's condition
+    bounds what two sets can still share from that shingle on. A list is split
+    by size class, in which alone similar sets can be.
+    """
+    known = members.join(sets.select("rep", F.col("n_shingles").alias("n")), "rep")
+
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, h, off in shingle_sets(batch.column(1), words):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], np.diff(off))), pa.array(h.view(np.int64))], names=["rep", "h"])
+
+    flat = texts.join(members.select("rep"), "rep", "left_semi").select("rep", "t").mapInArrow(flatten, "rep long, h long")
+    flat = written(flat, "member-shingles")
+    often = flat.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    keys = flat.join(often, "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("keys"))
+    long = f"n - ceil({percent} * n / 100.0D - 1e-9) + 1"
+    short = f"n - ceil({2 * percent} * n / {100 + percent}.0D - 1e-9) + 1"
+    post = keys.join(known, "rep").withColumn("own", F.expr("n - size(keys)")).select("rep", "label", "n", "own", F.expr(f"{short} AS short"), F.posexplode(F.expr(f"slice(keys, 1, cast(greatest(0, {long} - own) AS int))")).alias("i", "k"))
+    band = math.log(100 / percent) + 1e-3
+    post = post.select("rep", "label", "n", F.expr("own + i + 1 AS i"), "short", F.col("k.h").alias("h"), F.floor(F.log("n") / band).alias("band"))
+    y = post.select("h", "band", *[F.col(c).alias(f"{c}_y") for c in ("rep", "label", "n", "i")])
+    x = post.filter("i <= short").withColumn("band", F.explode(F.expr("array(band, band + 1)"))).drop("short")
+    order = "(n < n_y OR (n = n_y AND rep < rep_y)) AND label <> label_y"
+    bound = f"100 * n >= {percent} * n_y AND {100 + percent} * (1 + least(n - i, n_y - i_y)) >= {percent} * (n + n_y)"
+    met = x.alias("x").join(y.alias("y"), F.expr(f"x.h = y.h AND x.band = y.band AND {order} AND {bound}"))
+    return met.select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b")).distinct()
+
+
+def finely_alike(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose finer signatures agree enough."""
+    least = least_matches(FINE, percent / 100)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, h, off in shingle_sets(batch.column(1), words):
+                some, fine = np.flatnonzero(np.diff(off)), np.zeros((b - a, FINE), np.uint8)
+                for i in range(FINE if len(some) else 0):
+                    fine[some, i] = np.minimum.reduceat(_text.mix(h ^ _SEEDS[255 - i]), off[:-1][some]).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in fine], pa.binary())], names=["rep", "fine"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE) for c in (2, 3))
+                at = pa.array(np.flatnonzero((x == y).sum(axis=1) >= least))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    met = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    fine = written(texts.join(met, "rep", "left_semi").select("rep", "t").mapInArrow(sign, "rep long, fine binary"), "fine-signatures")
+    side = lambda c: fine.select(F.col("rep").alias(c), F.col("fine").alias(f"fine_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "fine_a", "fine_b").mapInArrow(compare, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, matches: int, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose signatures agree enough and whose full sets are similar."""
     agree = "size(filter(zip_with(sig_a, sig_b, (x, y) -> x = y), x -> x))"
@@ -131,15 +206,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = None
     for step in range(stars + 1):
         marked = lists.withColumn("label", F.col("rep")) if label is None else lists.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        open_ = marked.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("rep").alias("first"), F.max("rep").alias("final")).filter("least < most")
+        open_ = marked.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("rep").alias("first"), F.max("rep").alias("final"), F.count(F.lit(1)).alias("members")).filter("least < most")
         if step < stars:
             centre = "first" if step % 2 == 0 else "final"
             pairs = marked.join(open_.select("key", F.col(centre).alias("centre")), "key").filter("rep <> centre")
             pairs = pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
         else:
-            left = marked.join(open_.select("key"), "key", "left_semi")
+            left = marked.join(open_.filter(f"members <= {SHORT}").select("key"), "key", "left_semi")
             right = left.select("key", F.col("rep").alias("rep_b"), F.col("label").alias("label_b"))
             pairs = left.join(right, "key").filter("rep < rep_b AND label <> label_b").select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
+            members = written(marked.join(open_.filter(f"members > {SHORT}").select("key"), "key", "left_semi").select("rep", "label").distinct(), "members")
+            met = written(prefix_pairs(members, sets, texts, words, percent), "met")
+            pairs = pairs.unionByName(finely_alike(met, texts, words, percent))
         found = written(confirmed(pairs.distinct(), sets, texts, matches, words, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
         label = components(edges)
