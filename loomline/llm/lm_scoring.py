@@ -1,19 +1,21 @@
 """LM scoring by cross-entropy difference.
 
 Two interpolated bigram models, one of a target corpus and one of the
-background (all documents), share one vocabulary: words hashed to
-``2**word_bits`` entries, pairs of neighbouring words to ``2**pair_bits``. Both
-are counted over all their texts. A document's score is its mean loss a token
-under the background less that under the target: the larger, the more like the target.
-
-Counts are added up by task in blocks of the vocabulary, the blocks meet by
-number, and the finished models have a size fixed by the two parameters
-(8 bytes an entry): that bound is what is broadcast. Everything else grows with
-the input and stays distributed.
-
-Defined results: a null text or one without words has no tokens and null
-scores; target ids that are null or repeated do no harm; an empty target or
-table leaves smoothed, uniform models; repeated rows are scored one by one.
+background (all documents), share one vocabulary: every word of the corpus and
+one unseen word. A document's score is its mean loss a token under the
+background less that under the target: the larger, the more like the target.
+
+Nothing is sampled, hashed to a fixed size or collected: each distinct word,
+context and pair of neighbours has its own count (under a 64-bit hash), so the
+models grow with the input. Documents are packed once. A pack sends its
+distinct n-grams with their counts to buckets by hash, a bucket adds them up
+and answers each pack with the totals in the pack's own order, and the pack is
+scored where its answers meet it. Only three sums reach the driver.
+
+Defined results: ids are integers; a null text or one without words has no
+tokens and null scores; target ids that are null or repeated do no harm; an
+empty target leaves a smoothed, uniform model; an empty table gives an empty
+table; repeated rows are scored one by one. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -26,96 +28,107 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import _text
-from loomline.llm._arrow import slice_words, text_slices
+from loomline.llm import _packs, _text
+from loomline.llm._packs import Pack, table
+from loomline.llm._scratch import written
 
 U = np.uint64
-WORD_BITS, PAIR_BITS = 16, 20
-#: Counts that one block holds.
-BLOCK = 1 << 14
-
-
-def _tokens(texts: pa.Array, word_bits: int, pair_bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, first word of each row, word entries, entry of the
-    word before, pair entries). Before the first word stands entry 0."""
-    for a, b, buf, off in text_slices(texts):
-        start, end, first = slice_words(buf, off)
-        word = (_text.word_hashes(buf, start, end) >> U(64 - word_bits)).astype(np.int64) if len(start) else np.zeros(0, np.int64)
-        before = np.zeros(len(word), np.int64)
-        before[1:] = word[:-1]
-        before[first[:-1][np.diff(first) > 0]] = 0
-        pair = (_text.mix((before.astype(U) << U(32)) | word.astype(U)) >> U(64 - pair_bits)).astype(np.int64)
-        yield a, b, first, word, before, pair
-
-
-def counted(docs: DataFrame, text_col: str, target_col: str, word_bits: int, pair_bits: int) -> np.ndarray:
-    """Counts of (background, target) by entry: words, contexts, then pairs."""
-    n = 2 * (1 << word_bits) + (1 << pair_bits)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, n), np.int64)
-        for batch in batches:
-            wanted = np.array(batch.column(1).to_pylist(), bool)
-            for a, b, first, word, before, pair in _tokens(batch.column(0), word_bits, pair_bits):
-                own = np.repeat(wanted[a:b], np.diff(first))
-                entry = np.concatenate((word, before + (1 << word_bits), pair + (2 << word_bits)))
-                total[0] += np.bincount(entry, minlength=n)
-                total[1] += np.bincount(entry[np.tile(own, 3)], minlength=n)
-        for model in range(2):
-            for block in range(0, n, BLOCK):
-                part = total[model, block : block + BLOCK]
-                if part.any():
-                    at = np.flatnonzero(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([model * n + block]), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["block", "at", "n"])
-
-    def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BLOCK, np.int64)
-        for at, k in zip(parts["at"], parts["n"], strict=True):
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(k, np.int64)
-        return pd.DataFrame({"block": parts["block"].iloc[:1], "n": [total.tobytes()]})
-
-    rows = docs.select(F.col(text_col), F.col(target_col)).mapInArrow(count, "block long, at binary, n binary")
-    out = np.zeros(2 * n, np.int64)
-    for r in rows.groupBy("block").applyInPandas(add, "block long, n binary").collect():  # 8 bytes an entry
-        part = np.frombuffer(r.n, np.int64)
-        end = min(r.block + BLOCK, (r.block // n + 1) * n)
-        out[r.block : end] = part[: end - r.block]
-    return out.reshape(2, n)
-
-
-def losses(counts: np.ndarray, word_bits: int, weight: float = 0.6) -> tuple[np.ndarray, ...]:
-    """Of one model: probability of each word, count of each context, count of each pair."""
-    v = 1 << word_bits
-    return (counts[:v] + 0.5) / (counts[:v].sum() + 0.5 * v), counts[v : 2 * v].astype(float), counts[2 * v :].astype(float)
-
-
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_bits: int = WORD_BITS, pair_bits: int = PAIR_BITS, weight: float = 0.6) -> DataFrame:
+#: What sets words, contexts and pairs apart; the lowest bit of a word's key is 1, of others 0.
+_CONTEXT, _PAIR, _ODD = U(0x3C6EF372FE94F82B), U(0xA54FF53A5F1D36F1), U(0x9E3779B97F4A7C15)
+
+
+def _grams(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's document and, by word, the keys (word, context, pair) one after the other; distinct keys, ascending."""
+    word, doc, *_ = pack.words()
+    before = np.zeros(len(word), U)  # 0: a document's beginning
+    before[1:] = np.where(doc[1:] == doc[:-1], word[:-1], U(0))
+    pair = _text.mix(_text.mix(before ^ _PAIR) * _ODD + word)
+    keys = np.concatenate((word | U(1), _text.mix(before ^ _CONTEXT) & ~U(1), pair & ~U(1)))
+    own, at = np.unique(keys, return_inverse=True)
+    return doc, at, own
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.int64).tobytes()
+
+
+def _wide(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, np.int64 if len(x) == 8 * n and n else np.uint32).astype(np.int64)
+
+
+def totals(packs: DataFrame, target: DataFrame) -> DataFrame:
+    """Per (pack_id, bucket): totals of the pack's distinct keys in background and target.
+    A row of each bucket with a null pack_id has its number of words (kinds, then tokens in both)."""
+    bits = max(4, packs.count().bit_length() - 2)
+    ids = target.select(F.col(target.columns[0]).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
+    hits = packs.select("pack_id", F.posexplode("ids").alias("pos", "id")).join(ids, "id").groupBy("pack_id").agg(F.collect_list("pos").alias("hits"))
+
+    def send(row: dict) -> Iterator[pa.RecordBatch]:
+        pack = Pack(row)
+        doc, at, own = _grams(pack)
+        if not len(own):
+            return
+        wanted = np.zeros(len(pack.ids), bool)
+        wanted[np.array(row["hits"] or [], np.int64)] = True
+        background = np.bincount(at, minlength=len(own))
+        chosen = np.bincount(at[np.tile(wanted[doc], 3)], minlength=len(own))
+        bucket = (own >> U(64 - bits)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        parts = lambda x, f: pa.array([f(y) for y in np.split(x, cut[1:])], pa.binary())
+        yield table(pack_id=pa.array([row["pack_id"]] * len(cut), pa.int64()), bucket=pa.array(bucket[cut]), keys=parts(own, np.ndarray.tobytes), background=parts(background, _narrow), target=parts(chosen, _narrow))
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        size = [len(k) // 8 for k in rows["keys"]]
+        keys, at = np.unique(np.frombuffer(b"".join(rows["keys"]), U), return_inverse=True)
+        total, out = [], {"pack_id": rows["pack_id"].astype("Int64"), "bucket": rows["bucket"]}
+        for name in ("background", "target"):
+            n = np.zeros(len(keys), np.int64)
+            np.add.at(n, at, np.concatenate([_wide(x, k) for x, k in zip(rows[name], size, strict=True)]))
+            total.append(n)
+            out[name] = [_narrow(x) for x in np.split(n[at], np.cumsum(size)[:-1])]
+        words = (keys & U(1)) == 1
+        out = pd.DataFrame(out).assign(kinds=0, n_background=0, n_target=0)
+        sums = pd.DataFrame({"pack_id": pd.array([None], "Int64"), "bucket": rows["bucket"].iloc[:1].to_numpy(), "background": [b""], "target": [b""], "kinds": [int(words.sum())], "n_background": [int(total[0][words].sum())], "n_target": [int(total[1][words].sum())]})
+        return pd.concat([out, sums], ignore_index=True)
+
+    sent = _packs.each(_packs.with_notes(packs, hits), "pack_id long, bucket long, keys binary, background binary, target binary", send)
+    return sent.groupBy("bucket").applyInPandas(add, "pack_id long, bucket long, background binary, target binary, kinds long, n_background long, n_target long")
+
+
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = 0.6) -> DataFrame:
     """Per row: id, n_tokens, loss_target and loss_background (nats a token), score.
 
-    ``target`` has the ids of the target corpus in its first column.
+    ``target`` has the ids of the target corpus in its first column; ``weight``
+    is the share of the pair's probability, the rest being the word's.
     """
-    ids = target.select(F.col(target.columns[0]).alias("_target_id")).filter("_target_id IS NOT NULL").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    marked = rows.join(ids.withColumn("_hit", F.lit(True)), rows["id"] == ids["_target_id"], "left").select("t", F.coalesce("_hit", F.lit(False)).alias("hit"))
-    counts = counted(marked, "t", "hit", word_bits, pair_bits)
-    models = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = [losses(x, word_bits) for x in models.value]
-        for batch in batches:
-            for a, b, first, word, before, pair in _tokens(batch.column(1), word_bits, pair_bits):
-                n = np.diff(first)
-                mean = []
-                for p, context, pairs in both:
-                    seen = context[before]
-                    loss = -np.log(weight * np.where(seen > 0, np.minimum(pairs[pair], seen) / np.maximum(seen, 1), p[word]) + (1 - weight) * p[word])
-                    total = np.concatenate(([0.0], np.cumsum(loss)))
-                    mean.append(np.where(n > 0, (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1), np.nan))
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(mean[1], pa.float64(), mask=none), pa.array(mean[0], pa.float64(), mask=none), pa.array(mean[0] - mean[1], pa.float64(), mask=none)], names=["id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(judge, f"id {kind}, n_tokens long, loss_target double, loss_background double, score double")
+    with _packs.small_batches(docs.sparkSession):
+        packs = _packs.packed(docs, id_col, text_col)
+        counts = written(totals(packs, target), "ngram-totals")
+    kinds, *sizes = (x or 0 for x in counts.filter("pack_id IS NULL").agg(F.sum("kinds"), F.sum("n_background"), F.sum("n_target")).first())
+    answers = counts.filter("pack_id IS NOT NULL").groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "background", "target"))).alias("answers"))
+
+    def judge(row: dict) -> Iterator[pa.RecordBatch]:
+        pack = Pack(row)
+        doc, at, own = _grams(pack)
+        n, mean = np.bincount(doc, minlength=len(pack.ids)), []
+        word, context, pair = np.split(at, 3)
+        for name, size in zip(("background", "target"), sizes, strict=True):
+            count = np.zeros(len(own), np.int64)
+            done = 0
+            bucket = len(own) and np.searchsorted(own >> U(64 - bits), [a["bucket"] for a in row["answers"]], "right")
+            for a, end in zip(row["answers"] or [], bucket if len(own) else [], strict=True):
+                count[done:end] = _wide(a[name], int(end) - done)
+                done = int(end)
+            p = (count[word] + 0.5) / (size + 0.5 * (kinds + 1))
+            seen = count[context]
+            loss = -np.log(weight * np.where(seen > 0, count[pair] / np.maximum(seen, 1), p) + (1 - weight) * p)
+            mean.append(np.bincount(doc, loss, len(pack.ids)) / np.maximum(n, 1))
+        none = n == 0
+        real = lambda x: pa.array(x, pa.float64(), mask=none)
+        yield table(id=pa.array(pack.raw_ids, pa.int64()), n_tokens=pa.array(n.astype(np.int64)), loss_target=real(mean[1]), loss_background=real(mean[0]), score=real(mean[0] - mean[1]))
+
+    bits = max(4, packs.count().bit_length() - 2)
+    return _packs.each(packs.join(answers, "pack_id", "left"), "id long, n_tokens long, loss_target double, loss_background double, score double", judge)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
