@@ -5,9 +5,9 @@ background (all documents), share one vocabulary: every word of the corpus and
 one unseen word. A document's score is its mean loss a token under the
 background less that under the target: the larger, the more like the target.
 
-Nothing is sampled, hashed to a fixed size or collected: each distinct word,
-context and pair of neighbours has its own count (under a 64-bit hash), so the
-models grow with the input. Documents are packed once. A pack sends its
+Nothing is sampled, hashed to a fixed size or collected: each distinct word and
+pair of neighbours has its own count (under a hash of 44 bits or more, which
+grows with the input); a word also counts what follows it. Documents are packed once. A pack sends its
 distinct n-grams with their counts to buckets by hash, a bucket adds them up
 and answers each pack with the totals in the pack's own order, and the pack is
 scored where its answers meet it. Only three sums reach the driver.
@@ -33,19 +33,41 @@ from loomline.llm._packs import Pack, table
 from loomline.llm._scratch import written
 
 U = np.uint64
-#: What sets words, contexts and pairs apart; the lowest bit of a word's key is 1, of others 0.
-_CONTEXT, _PAIR, _ODD = U(0x3C6EF372FE94F82B), U(0xA54FF53A5F1D36F1), U(0x9E3779B97F4A7C15)
+#: The lowest bit of a word's key is 1, of a pair's 0. A key is KEY bytes beside the bits of its bucket.
+_PAIR, _ODD, KEY = U(0xA54FF53A5F1D36F1), U(0x9E3779B97F4A7C15), 5
+#: Counts of a key (0 where its kind has none): itself, and what follows it, in either model.
+_COUNTS = ("background", "target", "after_background", "after_target")
+#: The word that stands before a document's first one; only what follows it is counted.
+_BEGIN = U(0)
 
 
-def _grams(pack: Pack) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's document and, by word, the keys (word, context, pair) one after the other; distinct keys, ascending."""
+def _grams(pack: Pack, bits: int) -> tuple[np.ndarray, ...]:
+    """Each word's document; distinct keys of ``bits`` + 8 * KEY bits, ascending; index in them of each word, of the word before it and of each pair."""
     word, doc, *_ = pack.words()
-    before = np.zeros(len(word), U)  # 0: a document's beginning
-    before[1:] = np.where(doc[1:] == doc[:-1], word[:-1], U(0))
+    first = np.ones(len(word), bool)
+    first[1:] = doc[1:] != doc[:-1]
+    before = np.full(len(word), _BEGIN, U)
+    before[1:] = np.where(first[1:], _BEGIN, word[:-1])
+    cut = U(64 - bits - 8 * KEY)
     pair = _text.mix(_text.mix(before ^ _PAIR) * _ODD + word)
-    keys = np.concatenate((word | U(1), _text.mix(before ^ _CONTEXT) & ~U(1), pair & ~U(1)))
+    keys = np.concatenate((word >> cut | U(1), [_BEGIN >> cut | U(1)], (pair >> cut) & ~U(1)))
     own, at = np.unique(keys, return_inverse=True)
-    return doc, at, own
+    n = len(word)
+    own_word, begin, own_pair = at[:n], at[n], at[n + 1 :]
+    context = np.full(n, begin)
+    context[1:] = np.where(first[1:], begin, own_word[:-1])
+    return doc, own, own_word, context, own_pair
+
+
+def _short(keys: np.ndarray) -> bytes:
+    """The KEY low bytes of each key, plane by plane."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY].T).tobytes()
+
+
+def _long(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // KEY, 8), np.uint8)
+    out[:, :KEY] = np.frombuffer(x, np.uint8).reshape(KEY, -1).T
+    return out.view("<u8").ravel()
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -65,34 +87,35 @@ def totals(packs: DataFrame, target: DataFrame) -> DataFrame:
 
     def send(row: dict) -> Iterator[pa.RecordBatch]:
         pack = Pack(row)
-        doc, at, own = _grams(pack)
-        if not len(own):
+        doc, own, word, context, pair = _grams(pack, bits)
+        if not len(doc):
             return
         wanted = np.zeros(len(pack.ids), bool)
         wanted[np.array(row["hits"] or [], np.int64)] = True
-        background = np.bincount(at, minlength=len(own))
-        chosen = np.bincount(at[np.tile(wanted[doc], 3)], minlength=len(own))
-        bucket = (own >> U(64 - bits)).astype(np.int64)
+        at, hit = np.concatenate((word, pair)), wanted[doc]
+        n = dict(zip(_COUNTS, (np.bincount(x, minlength=len(own)) for x in (at, at[np.tile(hit, 2)], context, context[hit])), strict=True))
+        bucket = (own >> U(8 * KEY)).astype(np.int64)
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         parts = lambda x, f: pa.array([f(y) for y in np.split(x, cut[1:])], pa.binary())
-        yield table(pack_id=pa.array([row["pack_id"]] * len(cut), pa.int64()), bucket=pa.array(bucket[cut]), keys=parts(own, np.ndarray.tobytes), background=parts(background, _narrow), target=parts(chosen, _narrow))
+        yield table(pack_id=pa.array([row["pack_id"]] * len(cut), pa.int64()), bucket=pa.array(bucket[cut]), keys=parts(own, _short), **{k: parts(x, _narrow) for k, x in n.items()})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        size = [len(k) // 8 for k in rows["keys"]]
-        keys, at = np.unique(np.frombuffer(b"".join(rows["keys"]), U), return_inverse=True)
+        size = [len(k) // KEY for k in rows["keys"]]
+        keys, at = np.unique(np.concatenate([_long(k) for k in rows["keys"]]), return_inverse=True)
         total, out = [], {"pack_id": rows["pack_id"].astype("Int64"), "bucket": rows["bucket"]}
-        for name in ("background", "target"):
+        for name in _COUNTS:
             n = np.zeros(len(keys), np.int64)
             np.add.at(n, at, np.concatenate([_wide(x, k) for x, k in zip(rows[name], size, strict=True)]))
             total.append(n)
             out[name] = [_narrow(x) for x in np.split(n[at], np.cumsum(size)[:-1])]
-        words = (keys & U(1)) == 1
+        words = ((keys & U(1)) == 1) & (total[0] > 0)
         out = pd.DataFrame(out).assign(kinds=0, n_background=0, n_target=0)
-        sums = pd.DataFrame({"pack_id": pd.array([None], "Int64"), "bucket": rows["bucket"].iloc[:1].to_numpy(), "background": [b""], "target": [b""], "kinds": [int(words.sum())], "n_background": [int(total[0][words].sum())], "n_target": [int(total[1][words].sum())]})
+        sums = pd.DataFrame({"pack_id": pd.array([None], "Int64"), "bucket": rows["bucket"].iloc[:1].to_numpy(), **{k: [b""] for k in _COUNTS}, "kinds": [int(words.sum())], "n_background": [int(total[0][words].sum())], "n_target": [int(total[1][words].sum())]})
         return pd.concat([out, sums], ignore_index=True)
 
-    sent = _packs.each(_packs.with_notes(packs, hits), "pack_id long, bucket long, keys binary, background binary, target binary", send)
-    return sent.groupBy("bucket").applyInPandas(add, "pack_id long, bucket long, background binary, target binary, kinds long, n_background long, n_target long")
+    kinds = ", ".join(f"{k} binary" for k in _COUNTS)
+    sent = _packs.each(_packs.with_notes(packs, hits), f"pack_id long, bucket long, keys binary, {kinds}", send)
+    return sent.groupBy("bucket").applyInPandas(add, f"pack_id long, bucket long, {kinds}, kinds long, n_background long, n_target long")
 
 
 def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = 0.6) -> DataFrame:
@@ -105,23 +128,21 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         packs = _packs.packed(docs, id_col, text_col)
         counts = written(totals(packs, target), "ngram-totals")
     kinds, *sizes = (x or 0 for x in counts.filter("pack_id IS NULL").agg(F.sum("kinds"), F.sum("n_background"), F.sum("n_target")).first())
-    answers = counts.filter("pack_id IS NOT NULL").groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "background", "target"))).alias("answers"))
+    answers = counts.filter("pack_id IS NOT NULL").groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("bucket", *_COUNTS))).alias("answers"))
 
     def judge(row: dict) -> Iterator[pa.RecordBatch]:
         pack = Pack(row)
-        doc, at, own = _grams(pack)
+        doc, own, word, context, pair = _grams(pack, bits)
         n, mean = np.bincount(doc, minlength=len(pack.ids)), []
-        word, context, pair = np.split(at, 3)
         for name, size in zip(("background", "target"), sizes, strict=True):
-            count = np.zeros(len(own), np.int64)
-            done = 0
-            bucket = len(own) and np.searchsorted(own >> U(64 - bits), [a["bucket"] for a in row["answers"]], "right")
-            for a, end in zip(row["answers"] or [], bucket if len(own) else [], strict=True):
-                count[done:end] = _wide(a[name], int(end) - done)
+            count, after, done = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), 0
+            told = row["answers"] or []
+            for a, end in zip(told, np.searchsorted((own >> U(8 * KEY)).astype(np.int64), [a["bucket"] for a in told], "right"), strict=True):
+                count[done:end], after[done:end] = _wide(a[name], int(end) - done), _wide(a[f"after_{name}"], int(end) - done)
                 done = int(end)
             p = (count[word] + 0.5) / (size + 0.5 * (kinds + 1))
-            seen = count[context]
-            loss = -np.log(weight * np.where(seen > 0, count[pair] / np.maximum(seen, 1), p) + (1 - weight) * p)
+            seen = after[context]
+            loss = -np.log(weight * np.where(seen > 0, np.minimum(count[pair], seen) / np.maximum(seen, 1), p) + (1 - weight) * p)
             mean.append(np.bincount(doc, loss, len(pack.ids)) / np.maximum(n, 1))
         none = n == 0
         real = lambda x: pa.array(x, pa.float64(), mask=none)
