@@ -1,6 +1,7 @@
 """Benchmark decontamination by SimHash windows, in built-in column functions only.
 
-A document's windows are as long as a benchmark item. Their 64-bit SimHash
+A document's windows are as long as a benchmark item; a document shorter than
+the item, by no more than the similarity allows, is one window. Their 64-bit SimHash
 over words is cut into four blocks; an item is posted under every value within
 ``radius // 4`` bits of each of its blocks, so by the pigeonhole principle an
 equi-join on (size, block, value) finds every item within ``radius`` of a
@@ -13,8 +14,7 @@ are no better: moving a window's start on to the next shared shingle, or to the
 document's last window, loses no shared shingle), so clean text is read once
 and never windowed.
 
-Defined results: null or empty texts and texts shorter than an item match
-nothing; items of fewer than five words match nothing (too short to be
+Defined results: null or empty texts match nothing; items of fewer than five words match nothing (too short to be
 evidence); a repeated item id or document id is matched row by row, then the
 best match of each (id, item id) counts; ties go to the earliest window.
 """
@@ -67,12 +67,13 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("row_key", F.xxhash64("id", "t"))
     hashed = _arrays(text).select("id", "row_key", F.size("w").alias("n"), F.posexplode_outer("s").alias("pos", "h"))
     hits = hashed.join(F.broadcast(starts) if bounded <= BROADCAST_ROWS else starts, "h")
-    windows = hits.select("row_key", F.explode("sizes").alias("m"), "n", "pos").filter("m <= n").select("row_key", "m", F.expr("least(pos, n - m)").alias("start")).distinct()
+    windows = hits.select("row_key", F.explode("sizes").alias("m"), "n", "pos").filter(f"n - {SHINGLE - 1} >= {threshold!r}D * (m - {SHINGLE - 1}) - 1e-9D")
+    windows = windows.select("row_key", "m", F.expr("greatest(0, least(pos, n - m))").alias("start")).distinct()
     by_doc = windows.groupBy("row_key").agg(F.collect_list(F.struct("start", "m")).alias("windows"))
 
     again = _arrays(text.join(by_doc, "row_key")).select("id", F.explode("windows").alias("x"), "w", "s")
     cut = again.select("id", "x.start", "x.m", F.expr("slice(w, x.start + 1, x.m)").alias("win_w"), F.expr(f"slice(s, x.start + 1, x.m - {SHINGLE - 1})").alias("win_s"))
-    win = _fingerprints(cut, "win_w").drop("win_w")
+    win = _fingerprints(cut, "win_w").withColumn("n_words", F.size("win_w")).drop("win_w")
 
     near = radius // 4
     masks = spark.range(1 << 16).select(F.col("id").cast("int").alias("mask")).filter(F.bit_count("mask") <= near)
@@ -81,14 +82,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     probes = win.selectExpr("*", block).alias("d")
     earlier = " AND ".join(f"NOT (d.block > {k} AND bit_count(d.b{k} ^ i.b{k}) <= {near})" for k in range(3))  # each pair once
     pairs = probes.join(posted, F.expr(f"d.m = i.m AND d.block = i.block AND d.value = i.value AND {_far('d', 'i')} <= {radius} AND {earlier}"))
-    pairs = pairs.select("d.id", "i.item_id", "d.start", "d.m", "win_s", "item_s")
+    pairs = pairs.select("d.id", "i.item_id", "d.start", "d.n_words", "win_s", "item_s")
     shared = """CASE WHEN size(array_distinct(win_s)) = size(win_s) AND size(array_distinct(item_s)) = size(item_s)
         THEN size(array_intersect(win_s, item_s))
         ELSE aggregate(array_intersect(win_s, item_s), 0, (a, h) -> a + least(size(filter(win_s, x -> x = h)), size(filter(item_s, x -> x = h)))) END"""
-    pairs = pairs.withColumn("both", F.expr(shared)).withColumn("similarity", F.expr("both / (2.0D * size(win_s) - both)"))
+    pairs = pairs.withColumn("both", F.expr(shared)).withColumn("similarity", F.expr("both / (cast(size(win_s) + size(item_s) AS double) - both)"))
     pairs = pairs.filter(F.col("similarity") >= threshold)
-    best = F.max_by(F.struct("similarity", "start", "m"), F.struct("similarity", -F.col("start"))).alias("best")
-    return pairs.groupBy("id", "item_id").agg(best).select("id", "item_id", "best.similarity", F.col("best.start").cast("long").alias("start"), F.col("best.m").cast("long").alias("n_words"))
+    best = F.max_by(F.struct("similarity", "start", "n_words"), F.struct("similarity", -F.col("start"))).alias("best")
+    return pairs.groupBy("id", "item_id").agg(best).select("id", "item_id", "best.similarity", F.col("best.start").cast("long").alias("start"), F.col("best.n_words").cast("long").alias("n_words"))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
