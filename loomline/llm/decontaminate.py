@@ -9,10 +9,16 @@ window. Candidates are verified by the weighted Jaccard similarity of their
 five-word shingles, weights being multiplicities: sum of least over sum of
 greatest counts.
 
-Windows begin where a document has a shingle of the benchmark (other windows
-are no better: moving a window's start on to the next shared shingle, or to the
-document's last window, loses no shared shingle), so clean text is read once
-and never windowed.
+Windows begin where a document has a shingle of the benchmark (moving a window's
+start on to the next shared shingle, or to the document's last window, loses no
+shared shingle), and where the item would begin if that shingle stood in its
+place (a word changed before it leaves the fingerprints aligned). Clean text is
+read once and never windowed.
+
+The radius follows from the threshold: at similarity t of texts of mostly
+distinct words at least 2t / (1 + t) of the words are common, so each bit of
+the fingerprints differs with a chance of at most acos(2t / (1 + t)) / pi, and
+a pair lies beyond the radius with a chance of at most MISS.
 
 Defined results: null or empty texts match nothing; items of fewer than five words match nothing (too short to be
 evidence); a repeated item id or document id is matched row by row, then the
@@ -21,6 +27,8 @@ best match of each (id, item id) counts; ties go to the earliest window.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +36,8 @@ SHINGLE = 5
 LANES, FIELD = 16, "281479271743489L"  # FIELD: bits 0, 16, 32 and 48
 #: Shingles of the benchmark up to which they are broadcast (some 24 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: The chance at most that a fingerprint misses a pair at the threshold.
+MISS = 1e-4
 
 
 def _arrays(rows: DataFrame) -> DataFrame:
@@ -55,19 +65,32 @@ def _far(a: str, b: str) -> str:
     return " + ".join(f"bit_count({a}.b{k} ^ {b}.b{k})" for k in range(4))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8, radius: int = 11) -> DataFrame:
+def chance_missed(radius: int, threshold: float) -> float:
+    """The chance that fingerprints of a pair at the threshold are more than ``radius`` bits apart."""
+    p = math.acos(2 * threshold / (1 + threshold)) / math.pi
+    return sum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(radius + 1, 65))
+
+
+def radius_for(threshold: float, miss: float = MISS) -> int:
+    """The least radius that misses no more, filled up to the same distance of a block."""
+    least = next(r for r in range(65) if chance_missed(r, threshold) <= miss)
+    return min(64, least | 3)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.8, radius: int | None = None) -> DataFrame:
     """Pairs of a document and an item it contains: id, item_id, similarity,
     start (word offset of the best window), n_words (its size)."""
     spark = docs.sparkSession
+    radius = radius_for(threshold) if radius is None else radius
     own = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("t")).distinct()
-    own = _fingerprints(_arrays(own).filter(F.size("s") > 0).withColumn("m", F.size("w")), "w").select("item_id", "m", "s", "b0", "b1", "b2", "b3").withColumnRenamed("s", "item_s").cache()
+    own = _fingerprints(_arrays(own).filter(F.size("s") > 0).withColumn("m", F.size("w")).withColumn("item_key", F.xxhash64("item_id", "t")), "w").select("item_key", "item_id", "m", "s", "b0", "b1", "b2", "b3").withColumnRenamed("s", "item_s").cache()
 
-    starts = own.select("m", F.explode("item_s").alias("h")).groupBy("h").agg(F.collect_set("m").alias("sizes"))
+    starts = own.select("m", F.posexplode("item_s").alias("off", "h")).groupBy("h").agg(F.collect_set(F.struct("m", "off")).alias("places"))
     bounded = own.agg(F.sum(F.size("item_s"))).first()[0] or 0
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).withColumn("row_key", F.xxhash64("id", "t"))
     hashed = _arrays(text).select("id", "row_key", F.size("w").alias("n"), F.posexplode_outer("s").alias("pos", "h"))
     hits = hashed.join(F.broadcast(starts) if bounded <= BROADCAST_ROWS else starts, "h")
-    windows = hits.select("row_key", F.explode("sizes").alias("m"), "n", "pos").filter(f"n - {SHINGLE - 1} >= {threshold!r}D * (m - {SHINGLE - 1}) - 1e-9D")
+    windows = hits.select("row_key", F.explode("places").alias("place"), "n", "pos").select("row_key", "place.m", "n", F.explode(F.expr("array_distinct(array(pos, pos - place.off))")).alias("pos")).filter(f"n - {SHINGLE - 1} >= {threshold!r}D * (m - {SHINGLE - 1}) - 1e-9D")
     windows = windows.select("row_key", "m", F.expr("greatest(0, least(pos, n - m))").alias("start")).distinct()
     by_doc = windows.groupBy("row_key").agg(F.collect_list(F.struct("start", "m")).alias("windows"))
 
@@ -78,11 +101,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     near = radius // 4
     masks = spark.range(1 << 16).select(F.col("id").cast("int").alias("mask")).filter(F.bit_count("mask") <= near)
     block = "stack(4, 0, b0, 1, b1, 2, b2, 3, b3) AS (block, value)"
-    posted = own.selectExpr("*", block).join(F.broadcast(masks)).withColumn("value", F.expr("value ^ mask")).drop("mask").alias("i")
+    posted = own.drop("item_id", "item_s").selectExpr("*", block).join(F.broadcast(masks)).withColumn("value", F.expr("value ^ mask")).drop("mask").alias("i")
     probes = win.selectExpr("*", block).alias("d")
     earlier = " AND ".join(f"NOT (d.block > {k} AND bit_count(d.b{k} ^ i.b{k}) <= {near})" for k in range(3))  # each pair once
     pairs = probes.join(posted, F.expr(f"d.m = i.m AND d.block = i.block AND d.value = i.value AND {_far('d', 'i')} <= {radius} AND {earlier}"))
-    pairs = pairs.select("d.id", "i.item_id", "d.start", "d.n_words", "win_s", "item_s")
+    texts = own.select("item_key", "item_id", "item_s").distinct()
+    pairs = pairs.select("d.id", "i.item_key", "d.start", "d.n_words", "win_s").join(F.broadcast(texts) if bounded <= BROADCAST_ROWS else texts, "item_key").drop("item_key")
     shared = """CASE WHEN size(array_distinct(win_s)) = size(win_s) AND size(array_distinct(item_s)) = size(item_s)
         THEN size(array_intersect(win_s, item_s))
         ELSE aggregate(array_intersect(win_s, item_s), 0, (a, h) -> a + least(size(filter(win_s, x -> x = h)), size(filter(item_s, x -> x = h)))) END"""

@@ -17,3 +17,19 @@ def test_shortened_item(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     got = {r.id: (round(r.similarity, 9), r.start, r.n_words) for r in decontaminate.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
     assert got == {1: (round(33 / 34, 9), 0, 37), 2: (round(32 / 34, 9), 0, 36), 3: (round(30 / 34, 9), 0, 34), 5: (1.0, 0, 38)}
+
+
+def test_changed_near_the_ends(spark):
+    """One of the first or last words changed, or the first words lost, in prose: every text at similarity 0.8 is found."""
+    items, docs, want = [], [], set()
+    for i in range(120):
+        n = R.randint(52, 59)
+        item = words(n)
+        at = R.choice([0, 1, 2, 3, 4, n - 1, n - 2])
+        have = [*item[:at], "changed", *item[at + 1 :]] if i % 2 else item[R.randint(1, 5) :]
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join([*words(80), *have, *words(80)])))
+        want.add((i, i))
+    got = {(r.id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+    assert decontaminate.chance_missed(decontaminate.radius_for(0.8), 0.8) <= 1e-4 < decontaminate.chance_missed(11, 0.8)
