@@ -30,6 +30,8 @@ from loomline.llm._scratch import written
 MAX_TRAIN = 600
 #: N-grams of a profile.
 TOP = 400
+#: A text is of a known language if its score and margin reach SLACK of the LOW quantile of its language's training documents.
+LOW, SLACK = 0.005, 0.5
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -85,35 +87,40 @@ def training_rows(docs: DataFrame, may_learn: Column, id_col: str, text_col: str
     return rows.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text"), "_lang")
 
 
-def classify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str, keep: list[Column], top: int = TOP) -> DataFrame:
-    """The columns in ``keep`` with lang_pred and score (1 - mean distance over the most)."""
+def classify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str, keep: list[Column], top: int = TOP, margin: bool = False) -> DataFrame:
+    """The columns in ``keep`` with lang_pred and score (1 - mean distance over the most); with ``margin`` also that of the score over the second language's."""
     names = sorted(profiles, key=lambda x: x.encode("utf-8", "surrogatepass"))
     tables = []
     for name in names:
         order = np.argsort(profiles[name], kind="stable")
         tables.append((profiles[name][order], order.astype(np.int64)))
 
-    def judge(text: str | None) -> tuple[str, float]:
+    def judge(text: str | None) -> tuple[str, float, float]:
         own = ranked(grams(text), top) if text else np.zeros(0, np.int64)
         if not len(own) or not tables:
-            return "und", 0.0
-        place, best, name = np.arange(len(own)), None, "und"
+            return "und", 0.0, 0.0
+        place, best, second, name = np.arange(len(own)), None, None, "und"
         for lang, (codes, rank) in zip(names, tables, strict=True):
             at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
             far = int(np.where(codes[at] == own, np.abs(rank[at] - place), top).sum())
             if best is None or far < best:
-                best, name = far, lang
-        return name, 1.0 - best / (top * len(own))
+                best, second, name = far, best, lang
+            elif second is None or far < second:
+                second = far
+        most = top * len(own)
+        return name, 1.0 - best / most, ((best if second is None else second) - best) / most
 
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_t"))
     schema = rows.drop("_t").schema.add("lang_pred", "string").add("score", "double")
+    schema = schema.add("margin", "double") if margin else schema
     columns = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             told = [judge(x.as_py()) for x in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.float64())], names=columns)
+            more = [pa.array([x[2] for x in told], pa.float64())] if margin else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64()), *more], names=columns)
 
     return rows.mapInArrow(run, schema)
 
@@ -128,10 +135,24 @@ def identify(docs: DataFrame, keep: list[Column], id_col: str = "doc_id", text_c
     return classify(docs, fit_profiles(train, "_text", "_lang", top), text_col, keep, top)
 
 
-def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.05) -> DataFrame:
-    """The documents whose language can be told; others (no letters, or n-grams unlike any profile) go."""
-    told = identify(docs, [F.col(c) for c in docs.columns], id_col, text_col, lang_col)
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+def least_scores(train: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> dict[str, float]:
+    """Per language, the score and margin together that a text must reach: SLACK of
+    the low quantile of the training documents that are told as labelled."""
+    told = classify(train, profiles, "_text", [F.col("_lang")], top, margin=True).filter("lang_pred = _lang")
+    low = told.groupBy("_lang").agg(F.percentile(F.col("score") + F.col("margin"), F.lit(LOW)).alias("low"))
+    return {r._lang: SLACK * r.low for r in low.collect()}
+
+
+def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> DataFrame:
+    """The documents whose language can be told; others (no letters, or n-grams unlike any profile's training texts) go."""
+    train = written(training_rows(docs, ~held_out(id_col), id_col, text_col, lang_col, max_train), "language-training")
+    profiles = fit_profiles(train, "_text", "_lang")
+    least = least_scores(train, profiles)
+    told = classify(docs, profiles, text_col, [F.col(c) for c in docs.columns], margin=True)
+    known = F.lit(False)
+    for lang, low in least.items():
+        known = known | ((F.col("lang_pred") == lang) & (F.col("score") + F.col("margin") >= low))
+    return told.filter(known).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
