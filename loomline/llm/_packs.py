@@ -102,13 +102,14 @@ class Pack:
         return _text.byte_symbols(self.buf), np.repeat(owner, size)
 
 
-def anchors(symbols: np.ndarray, doc: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """Anchors of a pack's windows (see :func:`_text.window_anchors`), found in
-    segments of bounded size. A segment's edge may split an anchor's windows in
-    two runs, each of them right."""
+def anchors(symbols: np.ndarray, doc: np.ndarray, length: int, k: int, live: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Anchors of a pack's windows, or those that begin where ``live`` is true
+    (see :func:`_text.window_anchors`), found in segments of bounded size. A
+    segment's edge may split an anchor's windows in two runs, each of them right."""
     parts = []
     for a in range(0, max(1, len(symbols) - length + 1), SEGMENT):
-        h, pos, first, count = _text.window_anchors(symbols[a : a + SEGMENT + length - 1], doc[a : a + SEGMENT + length - 1], length, k)
+        end = a + SEGMENT + length - 1
+        h, pos, first, count = _text.window_anchors(symbols[a:end], doc[a:end], length, k, None if live is None else live[a:end])
         parts.append((h, pos + a, first + a, count))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -129,8 +130,9 @@ def table(**columns) -> pa.RecordBatch:
 
 
 def bucket_bits(packs: DataFrame) -> int:
-    """As many buckets as packs, so that a bucket stays as small as a pack."""
-    return int(min(10, max(4, packs.count().bit_length())))
+    """As many buckets as packs, so that a bucket stays as small as a pack
+    however large the input is; a pack sends a row an anchor at most."""
+    return int(min(31, max(4, packs.count().bit_length())))
 
 
 def shortened(h: np.ndarray, bits: int) -> np.ndarray:
@@ -138,14 +140,13 @@ def shortened(h: np.ndarray, bits: int) -> np.ndarray:
     return _text.mix(h ^ U(0x5851F42D4C957F2D)) >> U(32 - bits)
 
 
-def repeated(packs: DataFrame, symbols_of: Callable[[Pack], tuple], length: int, k: int, bits: int, hot: int) -> DataFrame:
+def repeated(packs: DataFrame, anchors_of: Callable[[dict], np.ndarray], bits: int, hot: int) -> DataFrame:
     """By pack: ``hits``, the shortened anchor hashes that other packs have as
     well (see :func:`shortened`), and ``hot``, those that at least ``hot``
     packs have."""
 
     def blocks(row: dict) -> Iterator[pa.RecordBatch]:
-        symbols, doc, *_ = symbols_of(Pack(row))
-        short = np.unique(shortened(anchors(symbols, doc, length, k)[0], bits))
+        short = np.unique(shortened(anchors_of(row), bits))
         if len(short):
             bucket = (short >> U(32)).astype(np.int64)
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -197,11 +198,13 @@ def expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which]
 
 
-def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
-    """Which of n symbols are in a window that begins at one of the starts."""
+def covered(starts: np.ndarray, length: int, n: int, begin: np.ndarray | tuple = (), end: np.ndarray | tuple = ()) -> np.ndarray:
+    """Which of n symbols are in a window that begins at one of the starts, or in a span [begin, end)."""
     step = np.zeros(n + 1, np.int32)
     np.add.at(step, starts, 1)
     np.add.at(step, starts + length, -1)
+    np.add.at(step, np.asarray(begin, np.int64), 1)
+    np.add.at(step, np.asarray(end, np.int64), -1)
     return np.cumsum(step[:-1]) > 0
 
 

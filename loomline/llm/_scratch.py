@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -39,7 +40,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
         atexit.register(drop_all)
     _made.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomline_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete a table of :func:`written` that no later step reads."""
+    _delete(df.sparkSession, df._loomline_path)
+
+
+def tidied(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose results are written: Spark
+    deletes them when the driver collects the plans that made them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_all() -> None:
@@ -47,7 +67,6 @@ def drop_all() -> None:
     while _made:
         spark, path = _made.pop()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended: nothing is left to ask
             return

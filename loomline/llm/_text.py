@@ -83,12 +83,13 @@ def second(symbols: np.ndarray) -> np.ndarray:
     return mix(symbols ^ U(0xA0761D6478BD642F))
 
 
-def window_anchors(symbols: np.ndarray, doc: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+def window_anchors(symbols: np.ndarray, doc: np.ndarray, length: int, k: int, live: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """For each window of ``length`` symbols of one document its anchor: the
     leftmost smallest hash among the window's k-grams.
 
     Equal windows have their anchor at the same offset, so a window that
     occurs twice shares an anchor hash. Windows of one anchor are consecutive.
+    Only windows that begin where ``live`` is true count, if it is given.
     Returns, by anchor: hash, position, first window, number of windows.
     """
     none = np.zeros(0, np.int64)
@@ -109,6 +110,8 @@ def window_anchors(symbols: np.ndarray, doc: np.ndarray, length: int, k: int) ->
         at = np.where(take, at[rest:], at[:-rest])
     at = at[:n]
     good = doc[:n] == doc[length - 1 :]
+    if live is not None:
+        good &= live[:n]
     new = np.ones(n, bool)
     new[1:] = (at[1:] != at[:-1]) | (good[1:] != good[:-1])
     first = np.flatnonzero(new)

@@ -49,7 +49,7 @@ def _branching_windows(pack: P.Pack, row: dict, window: int, k: int) -> tuple:
 def repeated_windows(packs: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
     """What each pack must know: compacted paths and branching anchors; repeated windows of the latter."""
     bits = P.bucket_bits(packs)
-    hits = P.repeated(packs, P.Pack.words, window, k, bits, 1 << 30)
+    hits = P.repeated(packs, lambda row: P.anchors(*P.Pack(row).words()[:2], window, k)[0], bits, 1 << 30)
 
     def edges(row: dict) -> Iterator[pa.RecordBatch]:
         pack = P.Pack(row)

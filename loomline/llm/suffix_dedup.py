@@ -1,12 +1,20 @@
 """Suffix-array dedup by deep-shallow sorting of the suffixes that may repeat.
 
-Texts are bytes. An anchor (see :mod:`loomline.llm._packs`) that occurs in
-more than one place brings its windows along, as one run of bytes. Runs of one
-anchor meet in one task, where the suffixes that begin in them are sorted by
-their first ``window`` bytes: multikey quicksort, eight bytes a key, to a
-shallow depth; groups that are still tied go on as blind tries, which look only
-at bytes at which a group branches. Equal suffixes are neighbours then, and the
-least document of each class is the one that keeps it.
+Texts are bytes. Three steps narrow down which suffixes are sorted, and none
+loses a repeat:
+
+1. A text is cut in chunks where the hash of what follows says so. A chunk
+   with the ``window - 1`` bytes after it holds all windows that begin in it.
+   If the same bytes are a chunk of a smaller document, these windows are
+   settled: their bytes go, and the smaller document has each of them too.
+2. An anchor (see :mod:`loomline.llm._packs`) of the other windows that occurs
+   in more than one place brings its windows along, as one run of bytes.
+3. Runs of one anchor meet in one task. Equal windows have their anchor at the
+   same offset, so the suffixes that begin in the runs are sorted by anchor,
+   offset and their first ``window`` bytes: multikey quicksort, eight bytes a
+   key, to a shallow depth; groups that are still tied go on as blind tries.
+   Equal suffixes are neighbours then, and the least document of each class
+   is the one that keeps it.
 
 An anchor that very many packs hold would make one task large; its windows
 travel one by one instead, as suffixes of their own, and meet by content.
@@ -14,7 +22,9 @@ travel one by one instead, as suffixes of their own, and meet by content.
 Defined results: null texts are empty; texts shorter than a window lose
 nothing; rows that share an id do not remove each other's bytes; a null id
 comes after all others; an empty table gives an empty table. Only the two named
-columns are read. Cuts may split a character; with_text decodes with U+FFFD.
+columns are read, so others may have any name. A text of any length is one
+row of its pack and is worked on whole, in segments. Cuts may split a
+character; with_text decodes with U+FFFD.
 """
 
 from __future__ import annotations
@@ -23,82 +33,153 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import _packs as P
 from loomline.llm import _text
-from loomline.llm._scratch import written
+from loomline.llm._scratch import dropped, tidied, written
 
 U = np.uint64
 WINDOW, K = 50, 20
+#: A chunk begins where this many bits of the hash of the next CUT bytes are 0: 128 bytes on the average.
+CHUNK_BITS, CUT = 7, 16
 #: Depth in bytes at which blind tries take over from multikey quicksort.
 SHALLOW = 16
 #: Packs that hold an anchor from which on its windows travel one by one.
 HOT = 64
+#: Packs named in one row of a run, about.
+NAMED = 4096
 #: Runs that a task sorts at once (more if one anchor has more).
 CHUNK = 40_000
 
 
+def eight_bytes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one number, zeros after the end."""
+    wide = np.concatenate((buf, np.zeros(8, np.uint8))).astype(U)
+    out = np.zeros(len(buf) + 1, U)
+    for j in range(8):
+        out |= wide[j : j + len(out)] << U(56 - 8 * j)
+    return out
+
+
+def common_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Leading bytes that the numbers have in common, 0 to 8."""
+    z = x ^ y
+    out = np.where(z == 0, 1, 0)
+    for bits in (32, 16, 8):
+        none = (z >> U(64 - bits)) == 0
+        out += np.where(none, bits // 8, 0)
+        z = np.where(none, z << U(bits), z)
+    return out
+
+
+def multikey_quicksort(eight: np.ndarray, start: np.ndarray, order: np.ndarray, head: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sort the groups ``order[lo:hi]`` by their first ``depth`` bytes, all groups in step.
+
+    Each group is parted in three by a pivot's eight bytes at the group's depth
+    (median of three); the middle part goes on eight bytes deeper. Marks in
+    ``head`` where a part begins; returns the groups still tied.
+    """
+    at = np.zeros(len(lo), np.int64)
+    tied = [(lo[:0], hi[:0])]
+    while len(lo):
+        size = hi - lo
+        group, pos = P.expand(lo, size)
+        s = order[pos]
+        key = eight[start[s] + at[group]]
+        first = np.cumsum(size) - size
+        a, b, c = key[first], key[first + size // 2], key[first + size - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[group]
+        less, more = key < pivot, key > pivot
+        same = ~(less | more)
+        rank, n = [], []
+        for part in (less, same, more):
+            upto = np.cumsum(part)
+            before = upto[first] - part[first]
+            rank.append(upto - 1 - before[group])
+            n.append(upto[first + size - 1] - before)
+        mid, high = lo + n[0], lo + n[0] + n[1]
+        order[np.where(less, lo[group] + rank[0], np.where(same, mid[group] + rank[1], high[group] + rank[2]))] = s
+        head[mid] = True
+        head[high[n[2] > 0]] = True
+        deeper = at + 8
+        done = (deeper >= depth) & (n[1] > 1)
+        tied.append((mid[done], high[done]))
+        new_lo, new_hi = np.concatenate((lo, mid, high)), np.concatenate((mid, high, hi))
+        new_at = np.concatenate((at, deeper, at))
+        go = (new_hi - new_lo > 1) & (new_at < depth)
+        lo, hi, at = new_lo[go], new_hi[go], new_at[go]
+    return np.concatenate([x for x, _ in tied]), np.concatenate([x for _, x in tied])
+
+
+def blind_tries(buf: np.ndarray, eight: np.ndarray, start: np.ndarray, order: np.ndarray, head: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, length: int) -> None:
+    """Sort the groups ``order[lo:hi]``, tied to ``depth``, by ``length`` bytes.
+
+    A blind trie's node is a range of suffixes with the depth to which all of
+    them agree; its edges have only the one byte at that depth as label. All
+    groups' tries grow together, from their roots down, a level at a time: what
+    is between a node's depth and its parent's is looked at once, and suffixes
+    that agree to ``length`` are one leaf. Each level splits every node it
+    keeps, so there are at most ``length - depth`` levels.
+    """
+    steps = [*range(depth, length - 7, 8), *([length - 8] if (length - depth) % 8 else [])]
+    while len(lo):
+        size = hi - lo
+        node, pos = P.expand(lo, size)
+        s = start[order[pos]]
+        lead = start[order[lo]][node]
+        agree = np.full(len(s), length, np.int64)
+        for d in reversed(steps):
+            same = common_bytes(eight[s + d], eight[lead + d])
+            agree = np.where(same < 8, d + same, agree)
+        skip = np.minimum.reduceat(agree, np.cumsum(size) - size)
+        inner = skip < length
+        keep = inner[node]
+        node, pos, s = node[keep], pos[keep], s[keep]
+        if not len(node):
+            return
+        label = buf[s + skip[node]]
+        by = np.lexsort((label, node))
+        order[pos] = order[pos][by]
+        new = np.ones(len(by), bool)  # node is in order already
+        new[1:] = (label[by][1:] != label[by][:-1]) | (node[1:] != node[:-1])
+        child = np.flatnonzero(new)
+        head[pos[child]] = True
+        count = np.diff(np.append(child, len(pos)))
+        lo, hi = pos[child][count > 1], (pos[child] + count)[count > 1]
+
+
 def deep_shallow(buf: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``start`` by group, then by their first
     ``length`` bytes, and whether each in that order differs from the one before."""
-    wide = np.concatenate((buf, np.zeros(8, np.uint8))).astype(U)
-    eight = np.zeros(len(buf) + 1, U)
-    for j in range(8):
-        eight |= wide[j : j + len(eight)] << U(56 - 8 * j)
-    n = len(start)
+    eight, n = eight_bytes(buf), len(start)
     order = np.argsort(group, kind="stable")
     head = np.ones(n, bool)
     head[1:] = group[order][1:] != group[order][:-1]
-
-    def refine(at: np.ndarray, key: np.ndarray) -> None:
-        """Sort the tied classes at positions ``at`` by key, and split them."""
-        cls = np.cumsum(head)[at]
-        by = np.lexsort((key, cls))
-        order[at], key = order[at][by], key[by]
-        new = np.zeros(len(at), bool)
-        new[1:] = (key[1:] != key[:-1]) & (cls[1:] == cls[:-1])
-        head[at] |= new
-
-    def tied() -> np.ndarray:
-        return np.flatnonzero(~head | ~np.append(head[1:], True))
-
-    for depth in range(0, min(SHALLOW, length - 7), 8):  # multikey quicksort
-        at = tied()
-        refine(at, eight[start[order[at]] + depth])
-    depths = [*range(SHALLOW, length - 7, 8), *([length - 8] if (length - SHALLOW) % 8 else [])]
-    at = tied()
-    while len(at):  # a level of all blind tries
-        s = start[order[at]]
-        lead = head[at]
-        first = np.flatnonzero(lead)
-        mine = s[first][np.cumsum(lead) - 1]
-        same = np.full(len(at), length, np.int64)
-        for d in reversed(depths):
-            x = eight[s + d] ^ eight[mine + d]
-            bad = x != 0
-            bits = 64 - np.frexp((x[bad] >> U(11)).astype(np.float64) * 2048.0 + (x[bad] & U(2047)).astype(np.float64))[1]
-            same[bad] = d + np.maximum(bits, 0) // 8
-        branch = np.minimum.reduceat(same, first)
-        branch = np.repeat(branch, np.diff(np.append(first, len(at))))
-        go = branch < length
-        if not go.any():
-            break
-        at = at[go]
-        refine(at, buf[s[go] + branch[go]])
-        at = at[np.isin(at, tied(), assume_unique=True)]
+    lo = np.flatnonzero(head)
+    hi = np.append(lo[1:], n)[: len(lo)]
+    many = hi - lo > 1
+    shallow = min(SHALLOW, length // 8 * 8)
+    lo, hi = multikey_quicksort(eight, start, order, head, lo[many], hi[many], shallow)
+    blind_tries(buf, eight, start, order, head, lo, hi, shallow, length)
     return order, head
 
 
-def least_documents(key: np.ndarray, runs: list[bytes], lo: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each run the least document of each of its windows, among runs of the same key."""
+def least_documents(key: np.ndarray, runs: list[bytes], off: np.ndarray, lo: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each run the least document of each of its windows, among runs of
+    the same key; ``off`` is the offset of the anchor in a run."""
     size = np.array([len(x) for x in runs], np.int64)
     count = size - length + 1
     buf = np.frombuffer(b"".join(runs), np.uint8)
-    which, start = P.expand(np.cumsum(size) - size, count)
-    order, head = deep_shallow(buf, start, key[which], length)
+    begin = np.cumsum(size) - size
+    which, start = P.expand(begin, count)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    group = np.cumsum(new)[which] * length + (off[which] - (start - begin[which]))
+    order, head = deep_shallow(buf, start, group, length)
     least = np.minimum.reduceat(lo[which][order], np.flatnonzero(head)) if len(order) else np.zeros(0, np.int64)
     out = np.empty(len(order), np.int64)
     out[order] = least[np.cumsum(head) - 1]
@@ -108,7 +189,7 @@ def least_documents(key: np.ndarray, runs: list[bytes], lo: np.ndarray, length:
 def _resolve(length: int):
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key = rows["key"].to_numpy()
-        lo, hi = rows["lo"].to_numpy(), rows["hi"].to_numpy()
+        lo, hi, off = rows["lo"].to_numpy(), rows["hi"].to_numpy(), rows["off"].to_numpy()
         alone = np.ones(len(key), bool)
         alone[1:] &= key[1:] != key[:-1]
         alone[:-1] &= key[1:] != key[:-1]
@@ -119,7 +200,7 @@ def _resolve(length: int):
         many = np.flatnonzero(~alone)
         if len(many):
             runs = rows["run"].take(pa.array(many)).to_pylist()
-            for i, least in zip(many, least_documents(key[many], runs, lo[many], length), strict=True):
+            for i, least in zip(many, least_documents(key[many], runs, off[many], lo[many], length), strict=True):
                 if least.min() < hi[i]:
                     pick.append(i)
                     mins.append((least[:1] if (least == least[0]).all() else least).tobytes())
@@ -147,6 +228,83 @@ def _resolve(length: int):
     return run
 
 
+def _chunks(pack: P.Pack, symbols: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """The chunks that windows begin in: document, begin, end of the begins of windows, digests."""
+    n = len(symbols)
+    cut = np.zeros(n, bool)
+    g = _text.sliding(symbols, CUT)
+    cut[: len(g)] = (g & U((1 << CHUNK_BITS) - 1)) == 0
+    cut[:1] = True
+    cut[1:] |= doc[1:] != doc[:-1]
+    begin = np.flatnonzero(cut)
+    upto = np.append(begin[1:], n)[: len(begin)]
+    own = doc[begin] >= 0
+    begin, upto = begin[own], upto[own]
+    of = doc[begin]
+    upto = np.minimum(upto, pack.end[of] - window + 1)
+    some = upto > begin
+    begin, upto, of = begin[some], upto[some], of[some]
+    end = upto + window - 1
+    return of, begin, upto, _text.spans_hash(symbols, begin, end), _text.spans_hash(_text.second(symbols), begin, end, _text._BASE2)
+
+
+def settled(packs: DataFrame, window: int, bits: int) -> DataFrame:
+    """The packs with ``settled``: begin and end (bytes of two arrays of longs)
+    of the begins of windows in chunks that a smaller document has as well."""
+
+    def send(row: dict) -> Iterator[pa.RecordBatch]:
+        pack = P.Pack(row)
+        of, _, _, r1, r2 = _chunks(pack, *pack.bytes(), window)
+        one, lo, _ = P.least_by([r1, r2], pack.ids[of])
+        if len(one):
+            r1, r2 = r1[one], r2[one]  # in the order of r1
+            bucket = (r1 >> U(64 - bits)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            parts = lambda x: pa.array([y.tobytes() for y in np.split(x, cut[1:])], pa.binary())
+            yield P.table(pack_id=pa.array([row["pack_id"]] * len(cut), pa.int64()), bucket=pa.array(bucket[cut], pa.int32()), r1=parts(r1), r2=parts(r2), lo=parts(lo))
+
+    def least(part: pd.DataFrame) -> pd.DataFrame:
+        size = [len(x) // 8 for x in part["lo"]]
+        r1, r2 = (np.frombuffer(b"".join(part[c]), U) for c in ("r1", "r2"))
+        lo = np.frombuffer(b"".join(part["lo"]), np.int64)
+        order = np.lexsort((lo, r2, r1))
+        new = np.ones(len(order), bool)
+        new[1:] = (r1[order][1:] != r1[order][:-1]) | (r2[order][1:] != r2[order][:-1])
+        first = np.empty(len(order), np.int64)
+        first[order] = lo[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        at = np.cumsum(size)[:-1]
+        told = [(x[m < y].tobytes(), m[m < y].tobytes()) for x, y, m in zip(np.split(r1, at), np.split(lo, at), np.split(first, at), strict=True)]
+        return pd.DataFrame({"pack_id": part["pack_id"], "r1": [x for x, _ in told], "least": [x for _, x in told]})
+
+    def mark(row: dict) -> Iterator[pa.RecordBatch]:
+        pack = P.Pack(row)
+        of, begin, upto, r1, r2 = _chunks(pack, *pack.bytes(), window)
+        ids = pack.ids[of]
+        name, at = np.unique(r1, return_inverse=True)
+        least_id = np.full(len(name), P.LAST)
+        np.minimum.at(least_id, at, ids)
+        if row["told"]:
+            known = np.frombuffer(b"".join(x["r1"] for x in row["told"]), U)
+            where = np.searchsorted(name, known)
+            least_id[where] = np.minimum(least_id[where], np.frombuffer(b"".join(x["least"] for x in row["told"]), np.int64))
+        gone = least_id[at] < ids
+        yield P.table(pack_id=pa.array([row["pack_id"]], pa.int64()), ids=pa.array([row["ids"]], pa.list_(pa.int64())), sizes=pa.array([row["sizes"]], pa.list_(pa.int64())), blob=pa.array([row["blob"]], pa.binary()), settled=pa.array([np.concatenate((begin[gone], upto[gone])).tobytes()], pa.binary()))
+
+    sent = P.each(packs, "pack_id long, bucket int, r1 binary, r2 binary, lo binary", send)
+    told = sent.groupBy("bucket").applyInPandas(least, "pack_id long, r1 binary, least binary").filter(F.length("r1") > 0)
+    told = told.groupBy("pack_id").agg(F.collect_list(F.struct("r1", "least")).alias("told"))  # a bucket's row at most
+    return written(P.each(P.with_notes(packs, told), "pack_id long, ids array<long>, sizes array<long>, blob binary, settled binary", mark), "settled-packs")
+
+
+def _live(row: dict, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of the settled begins of windows, and which bytes are no such begin."""
+    begin, upto = np.frombuffer(row["settled"], np.int64).reshape(2, -1)
+    step = np.zeros(n + 1, np.int8)
+    step[begin] += 1
+    step[upto] -= 1
+    return begin, upto, np.cumsum(step[:-1], dtype=np.int8) == 0
+
+
 def _own_key(r1: np.ndarray) -> np.ndarray:
     """The key of a window that travels by itself."""
     return _text.mix(r1 ^ U(0x8CB92BA72F3D8DD7))
@@ -164,8 +322,17 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a document of smaller id.
     """
     spark = docs.sparkSession
-    packs = P.packed(docs, id_col, text_col)
-    bits = P.bucket_bits(packs)
+    raw_packs = P.packed(docs, id_col, text_col)
+    bits = P.bucket_bits(raw_packs)
+    with P.small_batches(spark):
+        packs = settled(raw_packs, window, bits)
+    dropped(raw_packs)
+    tidied(spark)
+    shares = max(1, (packs.count() + NAMED - 1) // NAMED)
+
+    def anchors_of(row: dict) -> np.ndarray:
+        symbols, doc = P.Pack(row).bytes()
+        return P.anchors(symbols, doc, window, k, _live(row, len(symbols))[2])[0]
 
     def single(h: np.ndarray, row: dict) -> np.ndarray:
         return P.among(P.shortened(h, bits), row["hot"])
@@ -173,12 +340,13 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def runs(row: dict) -> Iterator[pa.RecordBatch]:
         pack = P.Pack(row)
         symbols, doc = pack.bytes()
-        h, _, first, count = P.anchors(symbols, doc, window, k)
+        h, pos, first, count = P.anchors(symbols, doc, window, k, _live(row, len(symbols))[2])
         own, n = np.unique(h, return_counts=True)
         at = P.among(P.shortened(h, bits), row["hits"]) | np.isin(h, own[n > 1])
-        h, first, count = h[at], first[at], count[at]
+        h, pos, first, count = h[at], pos[at], first[at], count[at]
         alone = single(h, row)
         one_by_one = P.expand(first[alone], count[alone])[1]
+        off = np.concatenate(((pos - first)[~alone], np.zeros(len(one_by_one), np.int64)))
         first = np.concatenate((first[~alone], one_by_one))
         count = np.concatenate((count[~alone], np.ones(len(one_by_one), np.int64)))
         end = first + count + window - 1
@@ -189,20 +357,21 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raw = pack.buf.tobytes()
         for a in range(0, len(one), 20_000):
             i = one[a : a + 20_000]
-            yield P.table(pack_id=pa.array([row["pack_id"]] * len(i), pa.int64()), key=P.signed(key[i]), r1=P.signed(r1[i]), run=pa.array([raw[x:y] for x, y in zip(first[i].tolist(), end[i].tolist(), strict=True)], pa.binary()), lo=pa.array(lo[a : a + 20_000]), hi=pa.array(hi[a : a + 20_000]))
+            yield P.table(pack_id=pa.array([row["pack_id"]] * len(i), pa.int64()), key=P.signed(key[i]), r1=P.signed(r1[i]), off=pa.array(off[i].astype(np.int32)), run=pa.array([raw[x:y] for x, y in zip(first[i].tolist(), end[i].tolist(), strict=True)], pa.binary()), lo=pa.array(lo[a : a + 20_000]), hi=pa.array(hi[a : a + 20_000]))
 
     def cut(row: dict) -> Iterator[pa.RecordBatch]:
         pack = P.Pack(row)
         symbols, doc = pack.bytes()
-        gone = []
+        begin, upto, live = _live(row, len(symbols))
+        gone = np.zeros(0, np.int64)
         if row["known"]:
             name = _name(np.array([x["key"] for x in row["known"]], np.int64).view(U), np.array([x["r1"] for x in row["known"]], np.int64).view(U))
             mins = [np.frombuffer(x["mins"], np.int64) for x in row["known"]]
             size = np.array([len(x) for x in mins], np.int64)
-            flat, begin = np.concatenate(mins), np.cumsum(size) - size
+            flat, place = np.concatenate(mins), np.cumsum(size) - size
             order = np.argsort(name)
-            name, size, begin = name[order], size[order], begin[order]
-            h, _, first, count = P.anchors(symbols, doc, window, k)
+            name, size, place = name[order], size[order], place[order]
+            h, _, first, count = P.anchors(symbols, doc, window, k, live)
             alone = single(h, row)
             one_by_one = P.expand(first[alone], count[alone])[1]
             first = np.concatenate((first[~alone], one_by_one))
@@ -214,8 +383,8 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             at, first, count = at[hit], first[hit], count[hit]
             which, start = P.expand(first, count)
             inner = np.where(size[at][which] > 1, start - first[which], 0)
-            gone = start[flat[begin[at][which] + inner] < pack.ids[doc[start]]]
-        out = P.covered(gone, window, len(symbols)) if len(gone) else np.zeros(len(symbols), bool)
+            gone = start[flat[place[at][which] + inner] < pack.ids[doc[start]]]
+        out = P.covered(gone, window, len(symbols), begin, upto + window - 1)
         raw, edge = pack.buf.tobytes(), np.diff(np.concatenate(([0], out.view(np.int8), [0])))
         ups, downs = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         a, b = np.searchsorted(ups, pack.begin), np.searchsorted(ups, pack.end)
@@ -236,13 +405,18 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield P.table(**columns)
 
     with P.small_batches(spark):
-        hits = written(P.repeated(packs, P.Pack.bytes, window, k, bits, hot), "hits")
-        found = P.each(P.with_notes(packs, hits), "pack_id long, key long, r1 long, run binary, lo long, hi long", runs)
+        hits = written(P.repeated(packs, anchors_of, bits, hot), "hits")
+        tidied(spark)
+        found = P.each(P.with_notes(packs, hits), "pack_id long, key long, r1 long, off int, run binary, lo long, hi long", runs)
         # one exchange: the sort and the grouping below keep to it
         met = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-        met = met.groupBy("key", "r1", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("pack_id").alias("packs"))
+        # a run that very many packs have is several rows, each of bounded size
+        met = met.groupBy("key", "r1", "run", "off", F.expr(f"pmod(hash(pack_id), {shares})").alias("share"))
+        met = met.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("pack_id").alias("packs"))
         known = met.sortWithinPartitions("key").mapInArrow(_resolve(window), "packs array<long>, key long, r1 long, mins binary")
-        known = known.select(F.explode("packs").alias("pack_id"), "key", "r1", "mins").groupBy("pack_id").agg(F.collect_list(F.struct("key", "r1", "mins")).alias("known"))
+        known = written(known.select(F.explode("packs").alias("pack_id"), "key", "r1", "mins"), "known-runs")
+        tidied(spark)
+        known = known.groupBy("pack_id").agg(F.collect_list(F.struct("key", "r1", "mins")).alias("known"))
         hot_of = hits.select("pack_id", "hot")
         joined = P.with_notes(P.with_notes(packs, known), hot_of)
         schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>" + ", text string" * with_text
