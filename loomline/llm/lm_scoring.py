@@ -7,15 +7,20 @@ background less that under the target: the larger, the more like the target.
 
 Nothing is sampled, hashed to a fixed size or collected: each distinct word and
 pair of neighbours has its own count (under a hash of 44 bits or more, which
-grows with the input); a word also counts what follows it. Documents are packed once. A pack sends its
-distinct n-grams with their counts to buckets by hash, a bucket adds them up
-and answers each pack with the totals in the pack's own order, and the pack is
-scored where its answers meet it. Only three sums reach the driver.
+grows with the input); a word also counts what follows it. Documents are packed
+once. A pack sends its distinct n-grams with their counts to buckets by hash
+(sorted keys as differences, numbers as compressed byte planes), a bucket adds
+them up and answers each pack with what the others have, in the pack's own
+order, and the pack is scored where its answers meet it. Most pairs are in one
+pack only, and their answer, nought, takes next to no space. Buckets grow in
+number with the packs, so a bucket's work stays as large as a few packs'; a
+pack sends a row a distinct n-gram at most. Only three sums reach the driver.
 
 Defined results: ids are integers; a null text or one without words has no
 tokens and null scores; target ids that are null or repeated do no harm; an
 empty target leaves a smoothed, uniform model; an empty table gives an empty
-table; repeated rows are scored one by one. Only the named columns are read.
+table; repeated rows are scored one by one. Only the named columns are read, so
+others may have any name. A text of any length is one row of its pack.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm import _packs, _text
 from loomline.llm._packs import Pack, table
-from loomline.llm._scratch import written
+from loomline.llm._scratch import tidied, written
 
 U = np.uint64
 #: The lowest bit of a word's key is 1, of a pair's 0. A key is KEY bytes beside the bits of its bucket.
@@ -59,55 +64,87 @@ def _grams(pack: Pack, bits: int) -> tuple[np.ndarray, ...]:
     return doc, own, own_word, context, own_pair
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The ``width`` low bytes of each number, plane by plane, compressed."""
+    import zstandard
+
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unplanes(x: bytes) -> np.ndarray:
+    import zstandard
+
+    width = x[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
 def _short(keys: np.ndarray) -> bytes:
-    """The KEY low bytes of each key, plane by plane."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY].T).tobytes()
+    """The KEY low bytes of ascending keys, as differences."""
+    low = keys & U((1 << 8 * KEY) - 1)
+    return _planes(np.diff(low, prepend=U(0)), KEY)
 
 
 def _long(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // KEY, 8), np.uint8)
-    out[:, :KEY] = np.frombuffer(x, np.uint8).reshape(KEY, -1).T
-    return out.view("<u8").ravel()
+    return np.cumsum(_unplanes(x), dtype=U)
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.int64).tobytes()
+    return _planes(x, max(1, (int(x.max()).bit_length() + 7) // 8 if len(x) else 1))
 
 
-def _wide(x: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(x, np.int64 if len(x) == 8 * n and n else np.uint32).astype(np.int64)
+def _wide(x: bytes) -> np.ndarray:
+    return _unplanes(x).astype(np.int64)
 
 
-def totals(packs: DataFrame, target: DataFrame) -> DataFrame:
-    """Per (pack_id, bucket): totals of the pack's distinct keys in background and target.
-    A row of each bucket with a null pack_id has its number of words (kinds, then tokens in both)."""
-    bits = max(4, packs.count().bit_length() - 2)
+def bucket_bits(packs: DataFrame) -> int:
+    return min(24, max(4, packs.count().bit_length() - 1))
+
+
+def _own_counts(pack: Pack, hits: list[int] | None, doc: np.ndarray, own: np.ndarray, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> dict[str, np.ndarray]:
+    """The pack's own counts of its keys; ``hits`` are the documents of the target."""
+    wanted = np.zeros(len(pack.ids), bool)
+    wanted[np.array(hits or [], np.int64)] = True
+    at, hit = np.concatenate((word, pair)), wanted[doc]
+    return dict(zip(_COUNTS, (np.bincount(x, minlength=len(own)) for x in (at, at[np.tile(hit, 2)], context, context[hit])), strict=True))
+
+
+def target_places(packs: DataFrame, target: DataFrame) -> DataFrame:
+    """Per pack: ``hits``, the places of the target's documents in it."""
     ids = target.select(F.col(target.columns[0]).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
-    hits = packs.select("pack_id", F.posexplode("ids").alias("pos", "id")).join(ids, "id").groupBy("pack_id").agg(F.collect_list("pos").alias("hits"))
+    return packs.select("pack_id", F.posexplode("ids").alias("pos", "id")).join(ids, "id").groupBy("pack_id").agg(F.collect_list("pos").alias("hits"))
+
+
+def totals(packs: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per (pack_id, bucket): what other packs add to the counts of the pack's distinct keys.
+    A row of each bucket with a null pack_id has its number of words (kinds, then tokens in both)."""
+    bits = bucket_bits(packs)
 
     def send(row: dict) -> Iterator[pa.RecordBatch]:
         pack = Pack(row)
         doc, own, word, context, pair = _grams(pack, bits)
         if not len(doc):
             return
-        wanted = np.zeros(len(pack.ids), bool)
-        wanted[np.array(row["hits"] or [], np.int64)] = True
-        at, hit = np.concatenate((word, pair)), wanted[doc]
-        n = dict(zip(_COUNTS, (np.bincount(x, minlength=len(own)) for x in (at, at[np.tile(hit, 2)], context, context[hit])), strict=True))
+        n = _own_counts(pack, row["hits"], doc, own, word, context, pair)
         bucket = (own >> U(8 * KEY)).astype(np.int64)
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
         parts = lambda x, f: pa.array([f(y) for y in np.split(x, cut[1:])], pa.binary())
         yield table(pack_id=pa.array([row["pack_id"]] * len(cut), pa.int64()), bucket=pa.array(bucket[cut]), keys=parts(own, _short), **{k: parts(x, _narrow) for k, x in n.items()})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        size = [len(k) // KEY for k in rows["keys"]]
-        keys, at = np.unique(np.concatenate([_long(k) for k in rows["keys"]]), return_inverse=True)
+        own = [_long(k) for k in rows["keys"]]
+        ends = np.cumsum([len(k) for k in own])[:-1]
+        keys, at = np.unique(np.concatenate(own), return_inverse=True)
         total, out = [], {"pack_id": rows["pack_id"].astype("Int64"), "bucket": rows["bucket"]}
         for name in _COUNTS:
+            here = np.concatenate([_wide(x) for x in rows[name]])
             n = np.zeros(len(keys), np.int64)
-            np.add.at(n, at, np.concatenate([_wide(x, k) for x, k in zip(rows[name], size, strict=True)]))
+            np.add.at(n, at, here)
             total.append(n)
-            out[name] = [_narrow(x) for x in np.split(n[at], np.cumsum(size)[:-1])]
+            out[name] = [_narrow(x) for x in np.split(n[at] - here, ends)]
         words = ((keys & U(1)) == 1) & (total[0] > 0)
         out = pd.DataFrame(out).assign(kinds=0, n_background=0, n_target=0)
         sums = pd.DataFrame({"pack_id": pd.array([None], "Int64"), "bucket": rows["bucket"].iloc[:1].to_numpy(), **{k: [b""] for k in _COUNTS}, "kinds": [int(words.sum())], "n_background": [int(total[0][words].sum())], "n_target": [int(total[1][words].sum())]})
@@ -126,20 +163,22 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     """
     with _packs.small_batches(docs.sparkSession):
         packs = _packs.packed(docs, id_col, text_col)
-        counts = written(totals(packs, target), "ngram-totals")
+        bits = bucket_bits(packs)
+        hits = written(target_places(packs, target), "target-places")
+        counts = written(totals(packs, hits), "ngram-totals")
+    tidied(docs.sparkSession)
     kinds, *sizes = (x or 0 for x in counts.filter("pack_id IS NULL").agg(F.sum("kinds"), F.sum("n_background"), F.sum("n_target")).first())
     answers = counts.filter("pack_id IS NOT NULL").groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("bucket", *_COUNTS))).alias("answers"))
 
     def judge(row: dict) -> Iterator[pa.RecordBatch]:
         pack = Pack(row)
         doc, own, word, context, pair = _grams(pack, bits)
+        here = _own_counts(pack, row["hits"], doc, own, word, context, pair)
         n, mean = np.bincount(doc, minlength=len(pack.ids)), []
+        told = row["answers"] or []
         for name, size in zip(("background", "target"), sizes, strict=True):
-            count, after, done = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), 0
-            told = row["answers"] or []
-            for a, end in zip(told, np.searchsorted((own >> U(8 * KEY)).astype(np.int64), [a["bucket"] for a in told], "right"), strict=True):
-                count[done:end], after[done:end] = _wide(a[name], int(end) - done), _wide(a[f"after_{name}"], int(end) - done)
-                done = int(end)
+            # a pack has a row of each bucket that it sent to, in the order of its own keys
+            count, after = (here[k] + (np.concatenate([_wide(a[k]) for a in told]) if told else 0) for k in (name, f"after_{name}"))
             p = (count[word] + 0.5) / (size + 0.5 * (kinds + 1))
             seen = after[context]
             loss = -np.log(weight * np.where(seen > 0, np.minimum(count[pair], seen) / np.maximum(seen, 1), p) + (1 - weight) * p)
@@ -148,8 +187,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         real = lambda x: pa.array(x, pa.float64(), mask=none)
         yield table(id=pa.array(pack.raw_ids, pa.int64()), n_tokens=pa.array(n.astype(np.int64)), loss_target=real(mean[1]), loss_background=real(mean[0]), score=real(mean[0] - mean[1]))
 
-    bits = max(4, packs.count().bit_length() - 2)
-    return _packs.each(packs.join(answers, "pack_id", "left"), "id long, n_tokens long, loss_target double, loss_background double, score double", judge)
+    return _packs.each(_packs.with_notes(_packs.with_notes(packs, answers), hits), "id long, n_tokens long, loss_target double, loss_background double, score double", judge)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
