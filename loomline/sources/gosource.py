@@ -95,6 +95,55 @@ def _split(toks: list[Token], a: int, b: int, at: frozenset | set, pair: dict[in
     return [(x, y) for x, y in out if x < y]
 
 
+def _body(toks: list[Token], a: int, b: int, pair: dict[int, int]) -> int:
+    """Index of the ``{`` that ends the header begun at a, or b. Braces of
+    literals, types and function literals in the header are passed over."""
+    opened = {y: x for x, y in pair.items()}
+    i = a
+    while i < b:
+        t = toks[i]
+        if t.text == "func" and t.kind == "keyword":
+            i += 1
+            while i < b and not (toks[i].text == "{" and toks[i - 1].text not in ("struct", "interface")):
+                i = pair[i] + 1 if i in pair else i + 1
+            i = pair[i] if i < b else i
+        elif t.kind == "op" and t.text == "{":
+            j = i - 1
+            while j > a and (toks[j].kind == "name" or toks[j].text in (".", "*")):
+                j -= 1
+            typed = toks[i - 1].text in ("struct", "interface") or i - 1 in opened and toks[opened[i - 1] - 1].text in ("struct", "interface")
+            if toks[j].text == "]" and opened.get(j, a) > a:
+                before = toks[opened[j] - 1]
+                typed = typed or before.text == "map" or not _is_operand_end(before)
+            if not typed:
+                return i
+            i = pair[i]
+        elif t.kind == "op" and i in pair:
+            i = pair[i]
+        i += 1
+    return b
+
+
+def _statements(toks: list[Token], a: int, b: int, pair: dict[int, int]) -> list[tuple[int, int]]:
+    """The statements of the block [a, b). A semicolon in the header of a for,
+    if or switch, after a label or an else too, belongs to the header."""
+    out, start, i = [], a, a
+    while i < b:
+        t = toks[i]
+        begins = i == start or toks[i - 1].text == "else" or toks[i - 1].text == ":" and i - 2 == start
+        if begins and t.kind == "keyword" and t.text in ("for", "if", "switch", "select"):
+            body = _body(toks, i + 1, b, pair)
+            i = pair[body] if body < b else i
+        elif t.kind == "op" and i in pair:
+            i = pair[i]
+        elif t.kind == "op" and t.text in ("\n", ";"):
+            out.append((start, i))
+            start = i + 1
+        i += 1
+    out.append((start, b))
+    return [(x, y) for x, y in out if x < y]
+
+
 def _print_type(toks: list[Token]) -> str:
     """A type in canonical spacing."""
     out = ""
@@ -322,7 +371,7 @@ def functions(source: str) -> list[dict]:
             raise GoSyntaxError(f"line {toks[pair[body]].line}: unexpected text after a body")
         many = len(results.fields) > 1 or any(n for n, _ in results.fields)
         signature = "func" + (f"[{generic.text()}]" if generic else "") + f"({params.text()})" + (f" ({results.text()})" if many else f" {results.text()}" if results.fields else "")
-        statements = _split(toks, body + 1, pair[body], {"\n", ";"}, pair)
+        statements = _statements(toks, body + 1, pair[body], pair)
         for x, y in statements:
             if toks[x].text in _BINARY - {"*", "&", "-", "+", "^"} or toks[y - 1].text in _BINARY | _ASSIGN:
                 raise GoSyntaxError(f"line {toks[y - 1].line}: a statement is not complete")

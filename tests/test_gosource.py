@@ -27,6 +27,32 @@ def test_complexity_and_shape():
     assert f["stmt_kinds"] == ["*ast.ForStmt", "*ast.SwitchStmt", "*ast.ReturnStmt"]
 
 
+HEADERS = {
+    "for i := 0; i < n; i++ {\n\t}": ["For"],
+    "if y := x; y > 1 {\n\t} else if z := y; z > 0 {\n\t} else {\n\t}\n\tx++": ["If", "IncDec"],
+    "switch y := f(x); y {\n\tcase 1:\n\t\tx++\n\t}": ["Switch"],
+    "switch y := v.(type) {\n\tcase int:\n\t}": ["TypeSwitch"],
+    "for _, x := range []int{1, 2} {\n\t}\n\treturn": ["Range", "Return"],
+    "for k := range map[string]T{\"a\": {1}} {\n\t}": ["Range"],
+    "for xs := []int{1}; len(xs) > 0; xs = xs[1:] {\n\t}\n\tx = a[i]": ["For", "Assign"],
+    "for f := func(s struct{ a int }) bool { return true }; f(v); {\n\t}": ["For"],
+    "for i, x := 0, []int{1}; i < 2; x = []int{2} {\n\t}": ["For"],
+    "if (T{1}) == v && a[i] {\n\t}": ["If"],
+    "switch a[i] {\n\tdefault:\n\t}": ["Switch"],
+    "again:\n\tfor i := 0; i < n; i++ {\n\t\tcontinue again\n\t}": ["Labeled"],
+    "for {\n\t}": ["For"],
+    "select {\n\tcase c <- 1:\n\t}": ["Select"],
+    "c <- 1; go f(); defer func() { x++ }()": ["Send", "Go", "Defer"],
+    "x := struct{ a int }{1}; var y interface{} = x; _ = y": ["Assign", "Decl", "Assign"],
+    "{\n\t\tx := 1; _ = x\n\t}": ["Block"],
+}
+
+
+@pytest.mark.parametrize("body", HEADERS)
+def test_header_semicolons(body):
+    assert only("func f() {\n\t" + body + "\n}")["stmt_kinds"] == [f"*ast.{k}Stmt" for k in HEADERS[body]]
+
+
 def test_broken_files_give_an_error():
     for text in ("package p\nfunc f( {\n}", "func f() {}", "package p\nfunc f() {\n", "package p\n}"):
         with pytest.raises(g.GoSyntaxError):
