@@ -6,12 +6,17 @@ nothing, each repeat costs more than the last (convex), and a document is used
 at most ``max_passes`` times. Flow runs from patterns to the sources they
 belong to, up to each source's quota, at least cost. Only patterns and sources
 reach the driver, never documents. A pattern's flow is then taken as whole
-passes over all its documents plus one partial pass over seeded documents.
+passes over all its documents plus one partial pass over seeded documents, up
+to the first that would take too much; what is still missing (or too much) is
+then made up by taking or leaving the document whose size is nearest to it, one
+after the other (FILLS).
 
 Defined results: a null text has size 0 and is never short of quota; a null
 source (or an empty membership) is a source of its own, last in order; documents
 of size 0 take 0; ties of the seeded order go by id, then text hash, and rows
-alike in both are taken together; an empty table gives an empty table.
+alike in both are interchangeable; an empty table gives an empty table. Only the
+named columns are read, so others may have any name; a long text is counted
+whole.
 """
 
 from __future__ import annotations
@@ -28,8 +33,10 @@ from loomline.llm import _text
 from loomline.llm._arrow import text_slices
 from loomline.llm._scratch import written
 
-#: The most membership patterns that the driver solves for; more is an error, not a cut.
-MAX_PATTERNS = 50_000
+#: The most membership patterns that the driver solves for (20,000 took it 4 s); more is an error, not a cut.
+MAX_PATTERNS = 20_000
+#: Documents that are taken or left at most to bring a pattern's partial pass near its end.
+FILLS = 4
 #: Parts that a pattern's seeded order is cut into, so that only one part is sorted row by row.
 PARTS = 4096
 
@@ -86,54 +93,71 @@ def route(patterns: Sequence[tuple[tuple, int]], quota: dict, costs: Sequence[in
     """Min-cost flow of whole tokens from (members, tokens) patterns to source quotas.
 
     Pass p over a pattern has the pattern's tokens as capacity and ``costs[p]``
-    a token. Successive shortest paths: each round augments along a cheapest
-    path of the residual graph. Returns each pattern's flow by source.
+    a token, ascending. Only the first edge of an augmenting path costs
+    anything, so cheapest paths come pass by pass: for each cost the passes
+    open and the flow is augmented to its maximum by blocking flows (Dinic).
+    Returns each pattern's flow by source.
     """
     sources = sorted({s for members, _ in patterns for s in members}, key=lambda s: (s is None, s or ""))
     n_p, n_s = len(patterns), len(sources)
     at = {s: n_p + j for j, s in enumerate(sources)}
     start, end, n = n_p + n_s, n_p + n_s + 1, n_p + n_s + 2
     graph: list[list[int]] = [[] for _ in range(n)]
-    to, cap, cost = [], [], []
+    to: list[int] = []
+    cap: list[int] = []
 
-    def edge(u: int, v: int, c: int, w: int) -> int:
+    def edge(u: int, v: int, c: int) -> int:
         graph[u].append(len(to))
         graph[v].append(len(to) + 1)
         to.extend((v, u))
         cap.extend((c, 0))
-        cost.extend((w, -w))
         return len(to) - 2
 
-    used = []
-    for i, (members, tokens) in enumerate(patterns):
-        for w in costs:
-            edge(start, i, tokens, w)
-        used.append({s: edge(i, at[s], tokens * len(costs), 0) for s in dict.fromkeys(members)})
+    supply = [edge(start, i, 0) for i in range(n_p)]
+    used = [{s: edge(i, at[s], tokens * len(costs)) for s in dict.fromkeys(members)} for i, (members, tokens) in enumerate(patterns)]
     for s in sources:
-        edge(at[s], end, int(round(quota.get(s, 0))), 0)
-    while True:
-        dist, through, waiting = [None] * n, [-1] * n, deque([start])
-        dist[start] = 0
-        queued = [False] * n
-        while waiting:
-            u = waiting.popleft()
-            queued[u] = False
-            for e in graph[u]:
-                if cap[e] > 0 and (dist[to[e]] is None or dist[u] + cost[e] < dist[to[e]]):
-                    dist[to[e]], through[to[e]] = dist[u] + cost[e], e
-                    if not queued[to[e]]:
-                        queued[to[e]] = True
+        edge(at[s], end, int(round(quota.get(s, 0))))
+    for _ in sorted(costs):
+        for e, (_, tokens) in zip(supply, patterns, strict=True):
+            cap[e] += tokens
+        while True:
+            level = [-1] * n
+            level[start] = 0
+            waiting = deque([start])
+            while waiting:
+                u = waiting.popleft()
+                for e in graph[u]:
+                    if cap[e] > 0 and level[to[e]] < 0:
+                        level[to[e]] = level[u] + 1
                         waiting.append(to[e])
-        if dist[end] is None:
-            break
-        path, v = [], end
-        while v != start:
-            path.append(through[v])
-            v = to[through[v] ^ 1]
-        push = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= push
-            cap[e ^ 1] += push
+            if level[end] < 0:
+                break
+            after = [0] * n
+            path: list[int] = []
+            u = start
+            while True:
+                if u == end:
+                    push = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    full = next(i for i, e in enumerate(path) if cap[e] == 0)
+                    u = to[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                while after[u] < len(graph[u]):
+                    e = graph[u][after[u]]
+                    if cap[e] > 0 and level[to[e]] == level[u] + 1:
+                        break
+                    after[u] += 1
+                if after[u] < len(graph[u]):
+                    path.append(graph[u][after[u]])
+                    u = to[path[-1]]
+                elif path:
+                    u = to[path.pop() ^ 1]
+                    after[u] += 1
+                else:
+                    break
     return [{s: cap[e ^ 1] for s, e in by.items()} for by in used]
 
 
@@ -149,7 +173,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keep = [F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), t).alias("row_key"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw"), members.alias("members")]
     spark = docs.sparkSession
-    table = written(sized(docs, text_col, keep), "mixture-sizes")
+    # n tells rows alike in all else apart; it holds once the table is written
+    table = written(sized(docs, text_col, keep).withColumn("n", F.monotonically_increasing_id()), "mixture-sizes")
     part = F.expr(f"cast(shiftrightunsigned(draw, {64 - (PARTS - 1).bit_length()}) AS int)")
     # a hot source is combined before it is shuffled; its order is cut into parts
     by_part = table.groupBy("members", part.alias("part")).agg(F.sum("size").alias("tokens"))
@@ -161,7 +186,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members
         for s in names:
             sizes[s] = sizes.get(s, 0) + tokens
     share = sum(tokens for _, tokens in patterns)
-    quota = targets(sizes, weights, cap) if len(patterns) == len(sizes) else _overlapping(sizes, share, weights, cap)
+    quota = targets(sizes, weights, cap) if all(len(names) < 2 for names, _ in patterns) else _overlapping(sizes, share, weights, cap)
     flows = route(patterns, quota, costs)
     plan = []
     for (names, tokens), flow in zip(patterns, flows, strict=True):
@@ -175,11 +200,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members
     cut = cut.groupBy("members").agg(F.max(F.struct("part", "before")).alias("cut")).select(F.col("members").alias("cut_members"), "cut.part", "cut.before")
     rows = table.withColumn("part", part).join(F.broadcast(plan), "members").join(F.broadcast(cut.withColumnRenamed("part", "cut_part")), F.col("members") == F.col("cut_members"), "left").drop("cut_members")
     # only the part in which the quota ends is summed row by row
-    inside = Window.partitionBy("members").orderBy("draw", "id", "row_key")
+    inside = Window.partitionBy("members").orderBy("draw", "id", "row_key", "n")
     last = rows.filter("part = cut_part").withColumn("upto", F.col("before") + F.sum("size").over(inside))
-    last = last.withColumn("extra", F.expr("CASE WHEN upto - rest <= rest - (upto - size) THEN size ELSE 0 END")).drop("upto")
-    other = rows.filter("part <> cut_part OR cut_part IS NULL").withColumn("extra", F.expr("CASE WHEN rest > 0 AND (cut_part IS NULL OR part < cut_part) AND passes < %d THEN size ELSE 0 END" % len(costs)))
-    out = last.unionByName(other)
+    last = last.withColumn("extra", F.expr("CASE WHEN upto <= rest THEN size ELSE 0 END")).drop("upto")
+    other = rows.filter("part <> cut_part OR cut_part IS NULL").withColumn("extra", F.expr("CASE WHEN rest > 0 AND (cut_part IS NULL OR part < cut_part) THEN size ELSE 0 END"))
+    out = written(last.unionByName(other), "mixture-passes")
+    near = F.struct(F.abs(F.col("gap") - F.col("move")).alias("off"), "draw", "id", "row_key", "n")
+    chosen = spark.createDataFrame([], "n long, fill long")
+    for _ in range(FILLS):
+        now = out.join(F.broadcast(chosen), "n", "left").withColumn("extra", F.coalesce("fill", "extra"))
+        gaps = now.groupBy("members").agg((F.first("rest") - F.sum("extra")).alias("gap")).filter("gap <> 0")
+        free = now.filter("fill IS NULL AND size > 0 AND rest > 0").join(F.broadcast(gaps), "members")
+        free = free.withColumn("move", F.expr("CASE WHEN extra = 0 THEN size ELSE -size END")).filter("abs(gap - move) < abs(gap)")
+        # a row a pattern: at most MAX_PATTERNS
+        more = free.groupBy("members").agg(F.min_by(F.struct("n", F.greatest("move", F.lit(0)).alias("fill")), near).alias("x")).select("x.n", F.col("x.fill").cast("long").alias("fill"))
+        chosen = chosen.unionByName(written(more, "mixture-fills"))
+    out = out.join(F.broadcast(chosen), "n", "left").withColumn("extra", F.coalesce("fill", "extra"))
     return out.select("id", "row_key", "members", "size", (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"), "source_size", "target")
 
 
