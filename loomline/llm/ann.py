@@ -4,8 +4,15 @@ Trees are fitted on a bounded sample (``sample`` vectors): a node splits its
 vectors at the median of their projection on the difference of two of them.
 Every vector is then indexed under one leaf a tree. A query goes down all trees
 at once through one priority queue, ordered by how far the query is on the
-wrong side of the splits passed, until it has ``leaves`` leaves; the vectors in
-those leaves are ranked by the exact inner product in double precision.
+wrong side of the splits passed, until it has as many leaves as it takes; the
+vectors in those leaves are ranked by the exact inner product in double
+precision.
+
+How many leaves it takes is measured, not guessed: for queries from the sample,
+the leaf rank at which each of their true neighbours in the sample turns up is
+known, and the number of leaves is the one that reaches ``recall``. Vectors
+with structure need few leaves; isotropic ones need most of them whatever the
+trees, and no setting hides that.
 
 For the largest inner product vectors are first given one more component, so
 that all have the norm of the largest and order by distance is order by inner
@@ -13,10 +20,13 @@ product; longer ones than the sample's are clipped there, which only affects
 where they are filed.
 
 Defined results: vectors that are null, empty, zero, or hold a null or
-non-finite component take no part, nor do vectors of another dimension than
-most of the sample; equal vectors are filed once, with their ids in order, of
+non-finite component take no part; an inner product needs equal dimensions, so
+each dimension has a forest of its own and its vectors are candidates of each
+other; of rows that share an id, the least vector is the query, and all are
+candidates of others; equal vectors are filed once, with their ids in order, of
 which a query can need ``top + 1``; ties go to the smaller id; an empty table
-gives an empty table.
+gives an empty table. Only the two named columns are read, so others may have
+any name.
 """
 
 from __future__ import annotations
@@ -34,6 +44,8 @@ from loomline.llm._scratch import written
 
 #: Vectors that the trees are fitted on, at most (a bound on what is broadcast with them).
 SAMPLE = 8192
+#: Vectors of the sample that the number of leaves is measured with, at most.
+ASKED = 256
 
 
 class Forest:
@@ -107,6 +119,24 @@ class Forest:
         return found
 
 
+    def leaves_for(self, x: np.ndarray, top: int, recall: float) -> int:
+        """The leaves that a query must see for this share of its ``top`` nearest, measured among the vectors x."""
+        ask = x[:: max(1, len(x) // ASKED)][:ASKED]
+        score = ask @ x.T
+        score[np.arange(len(ask)), np.arange(0, len(x), max(1, len(x) // ASKED))[: len(ask)]] = -np.inf
+        k = min(top, len(x) - 1)
+        if k < 1:
+            return self.leaf_count
+        near = np.argpartition(-score, k - 1, 1)[:, :k]
+        of, ranks = self.leaf_of(x), []
+        for q, own in zip(ask, near, strict=True):
+            place = np.empty(self.leaf_count, np.int64)
+            order = self.probe(q, self.leaf_count)
+            place[order] = np.arange(len(order))
+            ranks.append(place[of[own]].min(1))
+        return int(np.quantile(np.concatenate(ranks), recall, method="higher")) + 1
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id and v (array of doubles) of the vectors that take part."""
     v = F.col(vector_col).cast("array<double>")
@@ -118,18 +148,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20, trees: int = 12, leaf: int = 32, leaves: int = 280, sample: int = SAMPLE, seed: int = 4) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", top: int = 20, trees: int = 4, leaf: int = 32, recall: float = 0.95, sample: int = SAMPLE, seed: int = 4) -> DataFrame:
     """Each query's ``top`` nearest vectors found, other than its own id: query_id, rank, id, score."""
     spark = vectors.sparkSession
     rows = written(usable(vectors, id_col, vector_col), "vectors")
-    fit = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()
-    empty = "query_id long, rank int, id long, score double"
-    if not fit:
-        return spark.createDataFrame([], empty)
-    sizes, counts = np.unique([len(r.v) for r in fit], return_counts=True)
-    d = int(sizes[np.argmax(counts)])
-    rows = rows.filter(F.size("v") == d)
-    forest = spark.sparkContext.broadcast(Forest(np.array([r.v for r in fit if len(r.v) == d]), trees, leaf, seed))
+    asked = usable(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
+    out = spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    for (d,) in sorted(rows.select(F.size("v")).distinct().collect()):  # a forest a dimension
+        size = F.size("v") == d
+        out = out.unionByName(_nearest(rows.filter(size), asked.filter(size), top, trees, leaf, recall, sample, seed))
+    return out
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, top: int, trees: int, leaf: int, recall: float, sample: int, seed: int) -> DataFrame:
+    """:func:`nearest` among vectors (id, v) of one dimension."""
+    spark = rows.sparkSession
+    fit = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id", "v").limit(sample).select("v").collect()])
+    grown = Forest(fit, trees, leaf, seed)
+    leaves = grown.leaves_for(fit, top, recall)
+    forest = spark.sparkContext.broadcast(grown)
 
     # equal vectors once, with the ids that a query can need
     order = Window.partitionBy("v").orderBy("id")
@@ -150,11 +187,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vect
                 at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], names=["leaf", "query_id", "q"])
 
-    asked = usable(queries, id_col, vector_col).filter(F.size("v") == d).dropDuplicates(["id"]).select("id", "v")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
     bucket = (F.col("leaf") % parts).alias("bucket")
     index = one.select("v", "ids").mapInArrow(file, "leaf long, v array<double>, ids array<long>").select(bucket, "*")
-    probes = asked.mapInArrow(search, "leaf long, query_id long, q array<double>").select(bucket, "*")
+    probes = asked.select("id", "v").mapInArrow(search, "leaf long, query_id long, q array<double>").select(bucket, "*")
 
     def rank(ask: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         out = []

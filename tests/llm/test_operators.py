@@ -3,10 +3,9 @@
 import hashlib
 import random
 
-import numpy as np
 import pytest
 
-from loomline.llm import ann, decontaminate, licenses, mixing, near_dedup, secrets, substring_dedup, suffix_dedup
+from loomline.llm import decontaminate, licenses, near_dedup, secrets, substring_dedup, suffix_dedup
 from loomline.llm._license_texts import KNOWN
 from loomline.session import ship_package
 
@@ -89,29 +88,3 @@ def test_secrets(spark):
     assert got[5] == [("assign", 0, 18, "live"), ("access", 20, 40, "live")]
     clean = {r.doc_id: r.text for r in secrets.redact_secrets(frame).collect()}
     assert clean[5] == '[SECRET]" [SECRET]' and clean[0] == rows[0][1] and clean[6] is None
-
-
-def test_mixing(spark, docs):
-    got = mixing.mix(docs).collect()
-    assert len(got) == len(ROWS) and all(0 <= r.taken <= 3 * r["size"] for r in got)
-    t = mixing.targets({"a": 100, "b": 10, None: 1})
-    assert t["b"] == 30 and t[None] == 3 and abs(sum(t.values()) - 111) < 1e-9
-    flow = mixing.route([(("a",), 10), (("a", "b"), 10)], {"a": 15, "b": 5})
-    assert sum(flow[0].values()) == 10 and flow[1] == {"a": 5, "b": 5}
-
-
-def test_nearest(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(300, 8))
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [float(v) for v in x[0]])]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    ship_package(spark)
-    got = ann.nearest(frame, frame.filter("vec_id % 20 = 0"), top=5).collect()
-    have = {}
-    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
-        have.setdefault(r.query_id, []).append(r.id)
-    hits = 0
-    for q in range(0, 300, 20):
-        s = {i: float(np.dot(np.array(v), x[q])) for i, v in rows if i != q and i not in (300, 301, 302)}
-        hits += len(set(sorted(s, key=lambda i: (-s[i], i))[:5]) & set(have[q]))
-    assert hits / 75 >= 0.9
