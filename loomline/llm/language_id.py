@@ -7,16 +7,22 @@ n-gram's rank is from its rank in the profile, or a fixed most if it is not
 there. The nearest language wins; ties go to the name smaller by code point.
 
 Profiles are fitted on a bounded sample (``max_train`` labelled documents a
-language, those of the smallest id hash); every text is then judged whole.
+language, those of the smallest hash of id and text); every text is then judged
+whole.
 
 Defined results: a null text or one without letters is ``und`` with score 0;
-an empty training set makes every text ``und``; null ids and null labels are
-never learned from; repeated rows are judged one by one.
+letters are what Unicode calls so, numerals and signs are not; an empty training
+set makes every text ``und``; null ids and null labels are never learned from;
+rows alike in id, text and label are learned from once; repeated rows are judged
+one by one; an empty table gives an empty table. Only the named columns are
+read, others may have any name; a text of any length is judged whole, in one row.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,17 +38,25 @@ MAX_TRAIN = 600
 TOP = 400
 #: A text is of a known language if its score and margin reach SLACK of the LOW quantile of its language's training documents.
 LOW, SLACK = 0.005, 0.5
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: A language's training documents that are asked for at first, as a share of max_train: more than enough but for a chance of 1e-7.
+SPARE = 1.25
+
+
+@functools.cache
+def _not_letters() -> re.Pattern:
+    """Runs of anything but letters. ``\\w`` also has numerals, which are no letters."""
+    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+    return re.compile(rf"[\W\d_{re.escape(numerals)}]+")
 
 
 def grams(text: str) -> np.ndarray:
-    """The codes of all n-grams of a text, n from 1 to 3: 16 bits a code point."""
-    clean = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    """The codes of all n-grams of a text, n from 1 to 3: 21 bits a code point."""
+    clean = _not_letters().sub(" ", text.lower()).strip()
     if not clean:
         return np.zeros(0, np.int64)
-    c = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) & 0xFFFF
-    two = (c[:-1] << 16) | c[1:]
-    three = (two[:-1] << 16) | c[2:]
+    c = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    two = (c[:-1] << 21) | c[1:]
+    three = (two[:-1] << 21) | c[2:]
     return np.concatenate((c[c != 32], two, three[c[1:-1] != 32]))
 
 
@@ -78,13 +92,22 @@ def fit_profiles(labelled: DataFrame, text_col: str, lang_col: str, top: int = T
 
 
 def training_rows(docs: DataFrame, may_learn: Column, id_col: str, text_col: str, lang_col: str, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The labelled documents to learn from: at most ``max_train`` a language."""
-    ids = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    chosen = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_train).select("_id", "_lang").distinct()
-    # max_train rows a language: a bound on what is broadcast
-    rows = docs.filter(may_learn).join(F.broadcast(chosen), (docs[id_col] == F.col("_id")) & (docs[lang_col] == F.col("_lang")))
-    return rows.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_text"), "_lang")
+    """The labelled documents to learn from, as text and lang: at most
+    ``max_train`` a language. A bound of the hash that follows from a language's
+    number of documents leaves little more than these, so that no task ranks
+    more rows however large the table or a language is."""
+    rows = docs.filter(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    counts = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
+    share = F.lit(1.0)
+    few = {r.lang: SPARE * max_train / r.n for r in counts if r.n > 2 * max_train}
+    lang = F.col(lang_col).cast("string")
+    for name, part in few.items():
+        share = F.when(lang == name, part).otherwise(share)
+    draw = F.xxhash64(F.col(id_col), F.col(text_col))
+    some = rows.select(F.col(text_col).cast("string").alias("text"), lang.alias("lang"), draw.alias("draw"), share.alias("share"))
+    some = some.filter((F.col("draw").cast("double") / 2.0**64 + 0.5) <= F.col("share")).select("text", "lang", "draw").dropDuplicates(["lang", "draw", "text"])
+    order = Window.partitionBy("lang").orderBy("draw", "text")
+    return some.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max_train).select("text", "lang")
 
 
 def classify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str, keep: list[Column], top: int = TOP, margin: bool = False) -> DataFrame:
@@ -110,10 +133,14 @@ def classify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str, ke
         most = top * len(own)
         return name, 1.0 - best / most, ((best if second is None else second) - best) / most
 
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_t"))
-    schema = rows.drop("_t").schema.add("lang_pred", "string").add("score", "double")
-    schema = schema.add("margin", "double") if margin else schema
-    columns = [f.name for f in schema]
+    kept = docs.select(*keep)
+    asked = [*kept.columns, "lang_pred", "score", *(["margin"] if margin else [])]
+    # by place, so that no name can clash
+    columns = [f"c{i}" for i in range(len(asked))]
+    rows = docs.select(*keep, F.col(text_col).cast("string")).toDF(*columns[: len(kept.columns)], "t")
+    schema = rows.drop("t").schema.add(columns[len(kept.columns)], "string")
+    for name in columns[len(kept.columns) + 1 :]:
+        schema = schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +149,7 @@ def classify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str, ke
             more = [pa.array([x[2] for x in told], pa.float64())] if margin else []
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.float64()), *more], names=columns)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*asked)
 
 
 def held_out(id_col: str, folds: int = 5) -> Column:
@@ -132,27 +159,29 @@ def held_out(id_col: str, folds: int = 5) -> Column:
 def identify(docs: DataFrame, keep: list[Column], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, top: int = TOP) -> DataFrame:
     """Fit on the documents outside the held-out fold, then judge all."""
     train = written(training_rows(docs, ~held_out(id_col), id_col, text_col, lang_col, max_train), "language-training")
-    return classify(docs, fit_profiles(train, "_text", "_lang", top), text_col, keep, top)
+    return classify(docs, fit_profiles(train, "text", "lang", top), text_col, keep, top)
 
 
 def least_scores(train: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> dict[str, float]:
     """Per language, the score and margin together that a text must reach: SLACK of
     the low quantile of the training documents that are told as labelled."""
-    told = classify(train, profiles, "_text", [F.col("_lang")], top, margin=True).filter("lang_pred = _lang")
-    low = told.groupBy("_lang").agg(F.percentile(F.col("score") + F.col("margin"), F.lit(LOW)).alias("low"))
-    return {r._lang: SLACK * r.low for r in low.collect()}
+    told = classify(train, profiles, "text", [F.col("lang")], top, margin=True).filter("lang_pred = lang")
+    low = told.groupBy("lang").agg(F.percentile(F.col("score") + F.col("margin"), F.lit(LOW)).alias("low"))
+    return {r.lang: SLACK * r.low for r in low.collect()}
 
 
 def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> DataFrame:
     """The documents whose language can be told; others (no letters, or n-grams unlike any profile's training texts) go."""
     train = written(training_rows(docs, ~held_out(id_col), id_col, text_col, lang_col, max_train), "language-training")
-    profiles = fit_profiles(train, "_text", "_lang")
+    profiles = fit_profiles(train, "text", "lang")
     least = least_scores(train, profiles)
-    told = classify(docs, profiles, text_col, [F.col(c) for c in docs.columns], margin=True)
+    told = classify(docs, profiles, text_col, [F.col(f"`{c}`") for c in docs.columns], margin=True)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    told = told.toDF(*names, "lang_pred", "score", "margin")
     known = F.lit(False)
     for lang, low in least.items():
         known = known | ((F.col("lang_pred") == lang) & (F.col("score") + F.col("margin") >= low))
-    return told.filter(known).select(*docs.columns)
+    return told.filter(known).select(*names).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
