@@ -3,12 +3,16 @@
 Every text is scanned whole by a few patterns. The candidate values are hashed
 and counted over the corpus by distinct repositories and owners: a value that
 many owners share is an example that was copied from a manual; one that a
-single owner has looks live.
-
-Defined results: a null text counts as empty; rows with a null or repeated id
-are kept row by row; an empty table gives an empty table. Offsets are code
-points, ends exclusive. Columns other than those named are not read, so extra
-columns with clashing names do no harm.
+single owner has looks live. Repository and owner are columns of their own;
+where a table has one column for both, as the documents here, both counts agree.
+
+Defined results: a null text counts as empty; a null repository or owner is
+none, and a value that only such rows have counts 0 owners, so it looks live;
+rows with a null or repeated id are kept row by row; an empty table gives an
+empty table. Offsets are code points, ends exclusive. Columns other than those
+named are not read, so extra columns with clashing names do no harm. Patterns
+take time in proportion to the text, and matches are placed in blocks, so a
+long text with many of them does no harm either.
 """
 
 from __future__ import annotations
@@ -28,9 +32,13 @@ BASE_KINDS = (
 OWNED_KINDS = (
     ("issued", r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|eyJ)[A-Za-z0-9_.-]{16,}", 0, 20),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}", 0, 32),
-    ("opaque", r"\b(?=[A-Za-z0-9+/_]*[0-9])(?=[A-Za-z0-9+/_]*[a-z])(?=[A-Za-z0-9+/_]*[A-Z])[A-Za-z0-9+/_]{32,}={0,2}", 0, 32),
+    ("opaque", r"(?<![A-Za-z0-9+/_])[A-Za-z0-9+/_]{32,}={0,2}", 0, 32),
 )
 KINDS = tuple(k for k, *_ in BASE_KINDS + OWNED_KINDS)
+#: What a value of the kind must hold besides.
+MUST_HOLD = {"opaque": ("[0-9]", "[a-z]", "[A-Z]")}
+#: Matches whose offsets are added up at once.
+BLOCK = 128
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
@@ -45,19 +53,30 @@ def _found(text: str, rank: int) -> Column:
     kind, pattern, group, least = (BASE_KINDS + OWNED_KINDS)[rank]
     p = _sql(pattern)
     zipped = f"arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {group}))"
-    spans = f"""filter(aggregate(filter({zipped}, x -> x.`1` IS NOT NULL),
-        struct(cast(array() AS {_SPAN}) AS spans, 0 AS at),
-        (a, x) -> struct(concat(a.spans, array(struct(a.at + length(x.`0`) AS start, {rank} AS rank, '{kind}' AS kind, a.at + length(x.`0`) + length(x.`1`) AS end, x.`2` AS value))) AS spans,
-                         a.at + length(x.`0`) + length(x.`1`) AS at),
-        a -> a.spans), x -> length(x.value) >= {least})"""
+    sized = f"transform(filter({zipped}, x -> x.`1` IS NOT NULL), x -> struct(length(x.`0`) AS gap, length(x.`1`) AS size, x.`2` AS value))"
+    blocks = f"transform(array({sized}), z -> transform(sequence(0, (size(z) - 1) div {BLOCK}), b -> slice(z, b * {BLOCK} + 1, {BLOCK})))[0]"
+    # offsets: of blocks first, then within each block
+    starts = "aggregate(bs, array(0), (a, b) -> concat(a, array(element_at(a, -1) + aggregate(b, 0, (n, x) -> n + x.gap + x.size))))"
+    placed = f"""aggregate(b, struct(cast(array() AS {_SPAN}) AS spans, at AS at),
+        (a, x) -> struct(concat(a.spans, array(struct(a.at + x.gap AS start, {rank} AS rank, '{kind}' AS kind, a.at + x.gap + x.size AS end, x.value AS value))) AS spans, a.at + x.gap + x.size AS at),
+        a -> a.spans)"""
+    holds = "".join(f" AND x.value RLIKE '{h}'" for h in MUST_HOLD.get(kind, ()))
+    spans = f"filter(flatten(transform(array({blocks}), bs -> flatten(zip_with(bs, slice({starts}, 1, size(bs)), (b, at) -> {placed})))), x -> length(x.value) >= {least}{holds})"
     return F.expr(f"CASE WHEN {text} RLIKE {p} THEN {spans} ELSE cast(array() AS {_SPAN}) END")
 
 
+def _row_key(id_: Column, text: Column, repo: Column, owner: Column) -> Column:
+    """128 bits that tell rows apart; a null is not the same as any value."""
+    parts = [x for c in (id_, text, repo, owner) for x in (F.coalesce(c.cast("string"), F.lit("")), c.isNull())]
+    return F.struct(F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(1), *parts).alias("k2"))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
     """One row a document: id, row_key (tells rows of one id apart), repo, owner, base and owned spans."""
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
+    key = _row_key(F.col(id_col), F.col(text_col), F.col(repo_col), F.col(owner_col)).alias("row_key")
+    own = docs.select(F.col(id_col).alias("id"), key, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
     n = len(BASE_KINDS)
-    own = own.select("id", F.xxhash64("id", "t", "repo", "owner").alias("row_key"), "repo", "owner", F.array_sort(F.concat(*(_found("t", k) for k in range(n)))).alias("base"), F.concat(*(_found("t", k) for k in range(n, len(KINDS)))).alias("more"))
+    own = own.select("id", "row_key", "repo", "owner", F.array_sort(F.concat(*(_found("t", k) for k in range(n)))).alias("base"), F.concat(*(_found("t", k) for k in range(n, len(KINDS)))).alias("more"))
     apart = "filter(more, m -> NOT exists(base, b -> b.start < m.end AND m.start < b.end))"
     return own.select("id", "row_key", "repo", "owner", "base", F.expr(f"array_sort({apart})").alias("owned"))
 
@@ -67,8 +86,8 @@ def ownership(cands: DataFrame) -> DataFrame:
     distinct count is a two-step aggregate, so a value that a third of all
     rows hold is combined before it is shuffled."""
     each = cands.select("repo", "owner", F.explode(F.concat("base", "owned")).alias("x")).select(F.sha2("x.value", 256).alias("value_sha256"), "repo", "owner").distinct()
-    repos = each.select("value_sha256", "repo").distinct().groupBy("value_sha256").agg(F.count(F.lit(1)).alias("n_repos"))
-    owners = each.select("value_sha256", "owner").distinct().groupBy("value_sha256").agg(F.count(F.lit(1)).alias("n_owners"))
+    repos = each.select("value_sha256", "repo").distinct().groupBy("value_sha256").agg(F.count("repo").alias("n_repos"))
+    owners = each.select("value_sha256", "owner").distinct().groupBy("value_sha256").agg(F.count("owner").alias("n_owners"))
     return repos.join(owners, "value_sha256")
 
 
@@ -107,7 +126,7 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for _, pattern, _, _ in BASE_KINDS + OWNED_KINDS:
         any_pattern = any_pattern | F.expr(f"`{text_col}` RLIKE {_sql(pattern)}")
     any_pattern = F.coalesce(any_pattern, F.lit(False))
-    key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(repo_col).cast("string"), F.col(owner_col).cast("string"))
+    key = _row_key(F.col(id_col), F.col(text_col), F.col(repo_col), F.col(owner_col))
     hit = docs.filter(any_pattern).select(F.struct(*(F.col(c) for c in names)).alias("row"), key.alias("row_key")).join(live, "row_key", "left")
     t = f"row.`{text_col}`"
     masked = F.expr(
