@@ -10,7 +10,9 @@ header block, a paragraph or a line, however it is wrapped or commented.
 
 Defined results: a null or empty text has no licence and a null digest; every
 row is kept; ``licenses`` are all known wordings that the text contains, by
-name; ``license_id`` is the longest of them, ties to the smallest name. Known
+name; ``license_id`` is the longest of them, ties to the smallest name. An empty
+table gives an empty table; equal rows and ids count one by one; only the named
+columns are read, so others may have any name; a long text is searched whole. Known
 texts of one digest go by the smallest licence id. A known text of less than
 three words is looked up as a whole document only. The notice "all rights
 reserved" is no part of the canonical form (it stands in the middle of other
@@ -53,11 +55,28 @@ def canonical(text: Column) -> Column:
     t = F.lower(text)
     t = F.regexp_replace(t, r"(?m)^[ \t]*[#*/;%-]*[ \t]*(?:portions )?(?:copyright[ :]*(?:\(c\)|©|\d|by |<|\[|\{)|\(c\)|©)[^\n]*(?:\n|$)", " ")
     t = F.regexp_replace(t, r"(?m)^[ \t]*[#*/;%-]*[ \t]*all rights reserved\.?[ \t]*$", " ")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
+    # two blanks between words, so that neighbours share none
+    t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", "  ")
     t = F.concat(F.lit(" "), F.trim(t), F.lit(" "))
     for was, now in SPELLINGS:
-        t = F.regexp_replace(t, f" {was} ", f" {now} ") if "?" in was else F.replace(t, F.lit(f" {was} "), F.lit(f" {now} "))
-    return F.trim(t)
+        was, now = (f" {x} ".replace(" ", "  ")[1:-1] for x in (was, now))
+        t = F.regexp_replace(t, was, now) if "?" in was else F.replace(t, F.lit(was), F.lit(now))
+    return F.trim(F.replace(t, F.lit("  "), F.lit(" ")))
+
+
+def telling_words(forms: list[str]) -> list[str]:
+    """A few words of which each form has one or more, long ones if possible:
+    a text without any of them holds none of the forms."""
+    left, out = [set(f.split()) for f in forms], []
+    while left:
+        count: dict[str, int] = {}
+        for words in left:
+            for w in words:
+                count[w] = count.get(w, 0) + 1
+        best = min(count, key=lambda w: (len(w) < 7, -count[w], w))
+        out.append(best)
+        left = [words for words in left if best not in words]
+    return out
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
@@ -66,7 +85,7 @@ def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> D
     texts = spark.createDataFrame(rows, "license_id string, license_text string").withColumn("form", canonical(F.col("license_text")))
     one = texts.filter(F.length("form") > 0).groupBy("form").agg(F.min("license_id").alias("license_id")).withColumn("w", F.split("form", " "))
     ends = [F.expr(f"CASE WHEN size(w) >= {ANCHOR} THEN {_anchor(i)} END").alias(name) for name, i in (("first", "0"), ("last", f"size(w) - {ANCHOR}"))]
-    return one.select(F.sha2("form", 256).alias("digest"), "license_id", F.size("w").alias("n_words"), *ends)
+    return one.select(F.sha2("form", 256).alias("digest"), "license_id", F.size("w").alias("n_words"), "form", *ends)
 
 
 def _anchor(i: str) -> str:
@@ -84,7 +103,9 @@ def _contained(rows: list) -> Column:
     begins = f"CASE WHEN size(w) >= {ANCHOR} THEN filter(sequence(0, size(w) - {ANCHOR}), i -> {_anchor('i')} IN ({firsts})) ELSE cast(array() AS array<int>) END"
     fits = f"filter(array({shapes}), s -> s.first = {_anchor('i')} AND i + s.n <= size(w) AND {_anchor(f'(i + greatest(0, least(s.n, size(w) - i) - {ANCHOR}))')} = s.last)"
     digests = f"array_distinct(flatten(transform({begins}, i -> transform({fits}, s -> sha2(array_join(slice(w, i + 1, s.n), ' '), 256)))))"
-    return F.expr(f"filter(transform({digests}, d -> try_element_at({names}, d)), x -> x IS NOT NULL)")
+    found = f"filter(transform({digests}, d -> try_element_at({names}, d)), x -> x IS NOT NULL)"
+    telling = " OR ".join(f"array_contains(w, {_quoted(x)})" for x in telling_words([r.form for r in rows]))
+    return F.expr(f"CASE WHEN {telling} THEN {found} END")
 
 
 def _quoted(name: str) -> str:
