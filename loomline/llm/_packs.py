@@ -140,39 +140,63 @@ def shortened(h: np.ndarray, bits: int) -> np.ndarray:
     return _text.mix(h ^ U(0x5851F42D4C957F2D)) >> U(32 - bits)
 
 
+def planes(x: np.ndarray, width: int | None = None) -> bytes:
+    """The low bytes of numbers that are not negative, plane by plane, compressed."""
+    import zstandard
+
+    width = width or max(1, (int(x.max()).bit_length() + 7) // 8 if len(x) else 1)
+    low = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(low.tobytes())
+
+
+def unplanes(x: bytes) -> np.ndarray:
+    import zstandard
+
+    width = x[0]
+    low = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((low.shape[1], 8), np.uint8)
+    out[:, :width] = low.T
+    return out.view("<u8").ravel()
+
+
+def in_buckets(high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ascending bucket numbers: the buckets, and where each begins."""
+    cut = np.flatnonzero(np.diff(high.astype(np.int64), prepend=-1))
+    return high[cut].astype(np.int64), cut
+
+
 def repeated(packs: DataFrame, anchors_of: Callable[[dict], np.ndarray], bits: int, hot: int) -> DataFrame:
-    """By pack: ``hits``, the shortened anchor hashes that other packs have as
-    well (see :func:`shortened`), and ``hot``, those that at least ``hot``
-    packs have."""
+    """By pack: ``marks``, for each bucket bit masks of the pack's own distinct
+    shortened anchors: those that other packs have as well, and those that at
+    least ``hot`` packs have (see :func:`marked`)."""
 
     def blocks(row: dict) -> Iterator[pa.RecordBatch]:
         short = np.unique(shortened(anchors_of(row), bits))
         if len(short):
-            bucket = (short >> U(32)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            low = short.astype(np.uint32)
-            data = [x.tobytes() for x in np.split(low, cut[1:])]
-            yield table(pack_id=pa.array([row["pack_id"]] * len(cut), pa.int64()), bucket=pa.array(bucket[cut], pa.int32()), data=pa.array(data, pa.binary()))
+            bucket, cut = in_buckets(short >> U(32))
+            data = [x.tobytes() for x in np.split(short.astype(np.uint32), cut[1:])]
+            yield table(pack_id=pa.array([row["pack_id"]] * len(cut), pa.int64()), bucket=pa.array(bucket, pa.int32()), data=pa.array(data, pa.binary()))
 
     def shared(part: pd.DataFrame) -> pd.DataFrame:
         own = [np.frombuffer(x, np.uint32) for x in part["data"]]
-        found, count = np.unique(np.concatenate(own), return_counts=True)
-        many, very = found[count > 1], found[count >= hot]
-        high = U(int(part["bucket"].iloc[0])) << U(32)
-        pick = lambda x, few: (x[np.isin(x, few, assume_unique=True)].astype(U) | high).tobytes()
-        return pd.DataFrame({"pack_id": part["pack_id"], "hits": [pick(x, many) for x in own], "hot": [pick(x, very) for x in own]})
+        _, at, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        told = np.split(count[at], np.cumsum([len(x) for x in own])[:-1])
+        return pd.DataFrame({"pack_id": part["pack_id"], "bucket": part["bucket"], "many": [np.packbits(x > 1).tobytes() for x in told], "hot": [np.packbits(x >= hot).tobytes() for x in told]})
 
     blocks_of = each(packs, "pack_id long, bucket int, data binary", blocks)
-    hits = blocks_of.groupBy("bucket").applyInPandas(shared, "pack_id long, hits binary, hot binary").filter(F.length("hits") > 0)
+    hits = blocks_of.groupBy("bucket").applyInPandas(shared, "pack_id long, bucket int, many binary, hot binary")
     # a pack has one row a bucket at most
-    return hits.groupBy("pack_id").agg(F.collect_list("hits").alias("hits"), F.collect_list("hot").alias("hot"))
+    return hits.groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "many", "hot"))).alias("marks"))
 
 
-def among(short: np.ndarray, lists: list[bytes] | None) -> np.ndarray:
-    """Which of the shortened hashes are in any of the lists."""
-    if not lists:
-        return np.zeros(len(short), bool)
-    return np.isin(short, np.concatenate([np.frombuffer(x, U) for x in lists]))
+def marked(short: np.ndarray, marks: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pack's shortened anchors other packs have, and which very many have."""
+    if not marks:
+        return np.zeros(len(short), bool), np.zeros(len(short), bool)
+    own, at = np.unique(short, return_inverse=True)
+    _, cut = in_buckets(own >> U(32))
+    size = np.diff(np.append(cut, len(own)))
+    return tuple(np.concatenate([np.unpackbits(np.frombuffer(m[k], np.uint8), count=n) for m, n in zip(marks, size.tolist(), strict=True)]).astype(bool)[at] for k in ("many", "hot"))
 
 
 def with_notes(packs: DataFrame, notes: DataFrame) -> DataFrame:
@@ -192,6 +216,18 @@ def least_by(keys: list[np.ndarray], value: np.ndarray) -> tuple[np.ndarray, np.
     return order[first], value[order[first]], value[order[last[: len(first)]]]
 
 
+def classes(keys: list[np.ndarray], value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`least_by`, and the class of each row."""
+    one, lo, hi = least_by(keys, value)
+    order = np.lexsort((value, *keys[::-1]))
+    new = np.zeros(len(order), bool)
+    for x in keys:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new)
+    return one, lo, hi, of
+
+
 def expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All windows of anchors: each window's anchor (by index) and start."""
     which = np.repeat(np.arange(len(first)), count)

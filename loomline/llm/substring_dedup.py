@@ -56,7 +56,7 @@ def repeated_windows(packs: DataFrame, window: int, k: int) -> tuple[DataFrame,
         symbols, doc, *_ = pack.words()
         h, _, first, count = P.anchors(symbols, doc, window, k)
         own, n = np.unique(h, return_counts=True)
-        at = P.among(P.shortened(h, bits), row["hits"]) | np.isin(h, own[n > 1])
+        at = P.marked(P.shortened(h, bits), row["marks"])[0] | np.isin(h, own[n > 1])
         h, first, count = h[at], first[at], count[at]
         r1, r2 = _digests(symbols, first, first + count + window - 1)
         one, lo, hi = P.least_by([h, r1, r2], pack.ids[doc[first]])

@@ -9,12 +9,13 @@ loses a repeat:
    settled: their bytes go, and the smaller document has each of them too.
 2. An anchor (see :mod:`loomline.llm._packs`) of the other windows that occurs
    in more than one place brings its windows along, as one run of bytes.
-3. Runs of one anchor meet in one task. Equal windows have their anchor at the
+3. Runs go to buckets by the hash of their anchor, as many buckets as packs, a
+   block of each pack at most; equal runs of a pack are one. Equal windows have their anchor at the
    same offset, so the suffixes that begin in the runs are sorted by anchor,
    offset and their first ``window`` bytes: multikey quicksort, eight bytes a
    key, to a shallow depth; groups that are still tied go on as blind tries.
-   Equal suffixes are neighbours then, and the least document of each class
-   is the one that keeps it.
+   Equal suffixes are neighbours then, the least document of each class is
+   the one that keeps it, and a block is answered in its own order.
 
 An anchor that very many packs hold would make one task large; its windows
 travel one by one instead, as suffixes of their own, and meet by content.
@@ -50,10 +51,6 @@ CHUNK_BITS, CUT = 7, 16
 SHALLOW = 16
 #: Packs that hold an anchor from which on its windows travel one by one.
 HOT = 64
-#: Packs named in one row of a run, about.
-NAMED = 4096
-#: Runs that a task sorts at once (more if one anchor has more).
-CHUNK = 40_000
 
 
 def eight_bytes(buf: np.ndarray) -> np.ndarray:
@@ -168,64 +165,68 @@ def deep_shallow(buf: np.ndarray, start: np.ndarray, group: np.ndarray, length:
     return order, head
 
 
-def least_documents(key: np.ndarray, runs: list[bytes], off: np.ndarray, lo: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each run the least document of each of its windows, among runs of
-    the same key; ``off`` is the offset of the anchor in a run."""
-    size = np.array([len(x) for x in runs], np.int64)
-    count = size - length + 1
-    buf = np.frombuffer(b"".join(runs), np.uint8)
-    begin = np.cumsum(size) - size
+def least_documents(buf: np.ndarray, begin: np.ndarray, count: np.ndarray, key: np.ndarray, off: np.ndarray, lo: np.ndarray, length: int) -> np.ndarray:
+    """The least document of each window of runs, one after the other: a run
+    begins at ``begin``, has ``count`` windows, and its anchor is ``off`` bytes
+    on. Runs are in order of ``key``, only runs of one key are compared."""
     which, start = P.expand(begin, count)
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
-    group = np.cumsum(new)[which] * length + (off[which] - (start - begin[which]))
+    # equal windows have their anchor at the same offset, maybe before a run of its own
+    group = (np.cumsum(new)[which] * 2 + 1) * length + off[which] - (start - begin[which])
     order, head = deep_shallow(buf, start, group, length)
     least = np.minimum.reduceat(lo[which][order], np.flatnonzero(head)) if len(order) else np.zeros(0, np.int64)
     out = np.empty(len(order), np.int64)
     out[order] = least[np.cumsum(head) - 1]
-    return np.split(out, np.cumsum(count)[:-1])
+    return out
+
+
+def _run_keys(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, off: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor and digest of runs of bytes. A window that travels by itself (its
+    offset is that of no anchor) has its own digest as anchor."""
+    symbols = _text.byte_symbols(buf)
+    r1 = _text.spans_hash(symbols, begin, begin + size)
+    single = off == window
+    h = _text.sliding(symbols, k)[begin + np.where(single, 0, off)] if len(begin) else r1
+    return np.where(single, _text.mix(r1 ^ U(0x8CB92BA72F3D8DD7)), h), r1
+
+
+def _bucket(key: np.ndarray, bits: int) -> np.ndarray:
+    return _text.mix(key ^ U(0x2545F4914F6CDD1D)) >> U(64 - bits)
 
 
-def _resolve(length: int):
-    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key = rows["key"].to_numpy()
-        lo, hi, off = rows["lo"].to_numpy(), rows["hi"].to_numpy(), rows["off"].to_numpy()
-        alone = np.ones(len(key), bool)
+def _resolve(window: int, k: int):
+    """Of a bucket's runs, block by block: how many least documents are told of
+    a run (none, one for all its windows, or one a window), and which."""
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        n = [int(x) for x in part["n"]]
+        size, off, lo, more = (np.concatenate([P.unplanes(x) for x in part[c]]).astype(np.int64) for c in ("size", "off", "lo", "more"))
+        press = zstandard.ZstdDecompressor()
+        buf = np.frombuffer(b"".join([press.decompress(x) for x in part["text"]]), np.uint8)
+        begin = np.cumsum(size) - size
+        key, r1 = _run_keys(buf, begin, size, off, window, k)
+        one, least, _, of = P.classes([key, r1], lo)
+        key = key[one]
+        alone = np.ones(len(key), bool)  # the only context of its anchor
         alone[1:] &= key[1:] != key[:-1]
         alone[:-1] &= key[1:] != key[:-1]
-        pick, mins = [], []
-        for i in np.flatnonzero(alone & (lo < hi)):  # the only context of its anchor
-            pick.append(i)
-            mins.append(lo[i : i + 1].tobytes())
+        count = np.where(alone, 1, size[one] - window + 1)
+        place = np.cumsum(count) - count
+        flat = np.repeat(least, count)
         many = np.flatnonzero(~alone)
         if len(many):
-            runs = rows["run"].take(pa.array(many)).to_pylist()
-            for i, least in zip(many, least_documents(key[many], runs, off[many], lo[many], length), strict=True):
-                if least.min() < hi[i]:
-                    pick.append(i)
-                    mins.append((least[:1] if (least == least[0]).all() else least).tobytes())
-        if pick:
-            got = rows.take(pa.array(pick)).combine_chunks()
-            yield from pa.table({"packs": got["packs"], "key": got["key"], "r1": got["r1"], "mins": pa.array(mins, pa.binary())}).to_batches(max_chunksize=2000)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= CHUNK:
-                rows = pa.Table.from_batches(held)
-                key = rows["key"].to_numpy()
-                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-                if cut:
-                    yield from solve(rows.slice(0, cut))
-                held = rows.slice(cut).combine_chunks().to_batches()
-                n = len(key) - cut
-        if n:
-            yield from solve(pa.Table.from_batches(held))
-
-    return run
+            flat[P.expand(place[many], count[many])[1]] = least_documents(buf, begin[one][many], count[many], key[many], off[one][many], least[many], window)
+        low, high = np.minimum.reduceat(flat, place), np.maximum.reduceat(flat, place)
+        told = np.where(low[of] >= lo + more, 0, np.where(low[of] == high[of], 1, count[of]))
+        values = flat[P.expand(place[of], told)[1]]
+        ends = np.cumsum(n)[:-1]
+        upto = np.concatenate(([0], np.cumsum(told)))[ends]
+        return pd.DataFrame({"pack_id": part["pack_id"], "bucket": part["bucket"], "told": [P.planes(x) for x in np.split(told, ends)], "least": [P.planes(x) for x in np.split(values, upto)]})
+
+    return solve
 
 
 def _chunks(pack: P.Pack, symbols: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -305,15 +306,6 @@ def _live(row: dict, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, upto, np.cumsum(step[:-1], dtype=np.int8) == 0
 
 
-def _own_key(r1: np.ndarray) -> np.ndarray:
-    """The key of a window that travels by itself."""
-    return _text.mix(r1 ^ U(0x8CB92BA72F3D8DD7))
-
-
-def _name(key: np.ndarray, r1: np.ndarray) -> np.ndarray:
-    return _text.mix(key ^ _text.mix(r1))
-
-
 def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, hot: int = HOT, with_text: bool = False) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of
     [start, end) byte offsets removed), and the kept text if asked for.
@@ -328,63 +320,56 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         packs = settled(raw_packs, window, bits)
     dropped(raw_packs)
     tidied(spark)
-    shares = max(1, (packs.count() + NAMED - 1) // NAMED)
 
     def anchors_of(row: dict) -> np.ndarray:
         symbols, doc = P.Pack(row).bytes()
         return P.anchors(symbols, doc, window, k, _live(row, len(symbols))[2])[0]
 
-    def single(h: np.ndarray, row: dict) -> np.ndarray:
-        return P.among(P.shortened(h, bits), row["hot"])
-
-    def runs(row: dict) -> Iterator[pa.RecordBatch]:
+    def runs_of(row: dict) -> tuple:
+        """The pack's runs that may repeat: first window, number of windows, anchor's offset, and class of each; one of each class, its least and greatest document, its bucket."""
         pack = P.Pack(row)
         symbols, doc = pack.bytes()
-        h, pos, first, count = P.anchors(symbols, doc, window, k, _live(row, len(symbols))[2])
+        settled_spans = _live(row, len(symbols))
+        h, pos, first, count = P.anchors(symbols, doc, window, k, settled_spans[2])
         own, n = np.unique(h, return_counts=True)
-        at = P.among(P.shortened(h, bits), row["hits"]) | np.isin(h, own[n > 1])
-        h, pos, first, count = h[at], pos[at], first[at], count[at]
-        alone = single(h, row)
-        one_by_one = P.expand(first[alone], count[alone])[1]
-        off = np.concatenate(((pos - first)[~alone], np.zeros(len(one_by_one), np.int64)))
-        first = np.concatenate((first[~alone], one_by_one))
-        count = np.concatenate((count[~alone], np.ones(len(one_by_one), np.int64)))
-        end = first + count + window - 1
-        r1 = _text.spans_hash(symbols, first, end)
-        r2 = _text.spans_hash(_text.second(symbols), first, end, _text._BASE2)
-        key = np.concatenate((h[~alone], _own_key(r1[len(h) - int(alone.sum()) :])))
-        one, lo, hi = P.least_by([key, r1, r2], pack.ids[doc[first]])
-        raw = pack.buf.tobytes()
-        for a in range(0, len(one), 20_000):
-            i = one[a : a + 20_000]
-            yield P.table(pack_id=pa.array([row["pack_id"]] * len(i), pa.int64()), key=P.signed(key[i]), r1=P.signed(r1[i]), off=pa.array(off[i].astype(np.int32)), run=pa.array([raw[x:y] for x, y in zip(first[i].tolist(), end[i].tolist(), strict=True)], pa.binary()), lo=pa.array(lo[a : a + 20_000]), hi=pa.array(hi[a : a + 20_000]))
+        many, single = P.marked(P.shortened(h, bits), row["marks"])
+        at = many | np.isin(h, own[n > 1])
+        pos, first, count, single = pos[at], first[at], count[at], single[at]
+        one_by_one = P.expand(first[single], count[single])[1]
+        off = np.concatenate(((pos - first)[~single], np.full(len(one_by_one), window)))
+        first = np.concatenate((first[~single], one_by_one))
+        count = np.concatenate((count[~single], np.ones(len(one_by_one), np.int64)))
+        key, r1 = _run_keys(pack.buf, first, count + window - 1, off, window, k)
+        bucket = _bucket(key, bits)
+        one, lo, hi, of = P.classes([bucket, key, r1], pack.ids[doc[first]])
+        return pack, doc, settled_spans, first, count, off, of, one, lo, hi, bucket[one]
+
+    def runs(row: dict) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack, _, _, first, count, off, _, one, lo, hi, bucket = runs_of(row)
+        if not len(one):
+            return
+        press = zstandard.ZstdCompressor(level=3)
+        buckets, cut = P.in_buckets(bucket)
+        size = count[one] + window - 1
+        parts = lambda x: [P.planes(y) for y in np.split(x, cut[1:])]
+        text = [press.compress(pack.buf[P.expand(f, n)[1]].tobytes()) for f, n in zip(np.split(first[one], cut[1:]), np.split(size, cut[1:]), strict=True)]
+        columns = {"size": parts(size), "off": parts(off[one]), "lo": parts(lo), "more": parts(hi - lo), "text": text}
+        yield P.table(pack_id=pa.array([row["pack_id"]] * len(cut), pa.int64()), bucket=pa.array(buckets, pa.int32()), n=pa.array(np.diff(np.append(cut, len(one)))), **{c: pa.array(x, pa.binary()) for c, x in columns.items()})
 
     def cut(row: dict) -> Iterator[pa.RecordBatch]:
-        pack = P.Pack(row)
-        symbols, doc = pack.bytes()
-        begin, upto, live = _live(row, len(symbols))
+        pack, doc, (begin, upto, _), first, count, _, of, *_ = runs_of(row)
         gone = np.zeros(0, np.int64)
-        if row["known"]:
-            name = _name(np.array([x["key"] for x in row["known"]], np.int64).view(U), np.array([x["r1"] for x in row["known"]], np.int64).view(U))
-            mins = [np.frombuffer(x["mins"], np.int64) for x in row["known"]]
-            size = np.array([len(x) for x in mins], np.int64)
-            flat, place = np.concatenate(mins), np.cumsum(size) - size
-            order = np.argsort(name)
-            name, size, place = name[order], size[order], place[order]
-            h, _, first, count = P.anchors(symbols, doc, window, k, live)
-            alone = single(h, row)
-            one_by_one = P.expand(first[alone], count[alone])[1]
-            first = np.concatenate((first[~alone], one_by_one))
-            count = np.concatenate((count[~alone], np.ones(len(one_by_one), np.int64)))
-            r1 = _text.spans_hash(symbols, first, first + count + window - 1)
-            own = _name(np.concatenate((h[~alone], _own_key(r1[len(h) - int(alone.sum()) :]))), r1)
-            at = np.minimum(np.searchsorted(name, own), len(name) - 1)
-            hit = name[at] == own
-            at, first, count = at[hit], first[hit], count[hit]
-            which, start = P.expand(first, count)
-            inner = np.where(size[at][which] > 1, start - first[which], 0)
-            gone = start[flat[place[at][which] + inner] < pack.ids[doc[start]]]
-        out = P.covered(gone, window, len(symbols), begin, upto + window - 1)
+        if row["answers"]:
+            told = np.concatenate([P.unplanes(x["told"]) for x in row["answers"]]).astype(np.int64)
+            least = np.concatenate([P.unplanes(x["least"]) for x in row["answers"]]).astype(np.int64)
+            place = np.cumsum(told) - told
+            at = np.flatnonzero(told[of] > 0)
+            which, start = P.expand(first[at], count[at])
+            run = of[at][which]
+            gone = start[least[place[run] + np.where(told[run] > 1, start - first[at][which], 0)] < pack.ids[doc[start]]]
+        out = P.covered(gone, window, len(doc), begin, upto + window - 1)
         raw, edge = pack.buf.tobytes(), np.diff(np.concatenate(([0], out.view(np.int8), [0])))
         ups, downs = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         a, b = np.searchsorted(ups, pack.begin), np.searchsorted(ups, pack.end)
@@ -405,20 +390,13 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield P.table(**columns)
 
     with P.small_batches(spark):
-        hits = written(P.repeated(packs, anchors_of, bits, hot), "hits")
+        marks = written(P.repeated(packs, anchors_of, bits, hot), "marks")
         tidied(spark)
-        found = P.each(P.with_notes(packs, hits), "pack_id long, key long, r1 long, off int, run binary, lo long, hi long", runs)
-        # one exchange: the sort and the grouping below keep to it
-        met = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-        # a run that very many packs have is several rows, each of bounded size
-        met = met.groupBy("key", "r1", "run", "off", F.expr(f"pmod(hash(pack_id), {shares})").alias("share"))
-        met = met.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("pack_id").alias("packs"))
-        known = met.sortWithinPartitions("key").mapInArrow(_resolve(window), "packs array<long>, key long, r1 long, mins binary")
-        known = written(known.select(F.explode("packs").alias("pack_id"), "key", "r1", "mins"), "known-runs")
+        met = P.each(P.with_notes(packs, marks), "pack_id long, bucket int, n long, size binary, off binary, lo binary, more binary, text binary", runs)
+        answers = written(met.groupBy("bucket").applyInPandas(_resolve(window, k), "pack_id long, bucket int, told binary, least binary"), "least-documents")
         tidied(spark)
-        known = known.groupBy("pack_id").agg(F.collect_list(F.struct("key", "r1", "mins")).alias("known"))
-        hot_of = hits.select("pack_id", "hot")
-        joined = P.with_notes(P.with_notes(packs, known), hot_of)
+        answers = answers.groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "told", "least"))).alias("answers"))
+        joined = P.with_notes(P.with_notes(packs, answers), marks)
         schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>" + ", text string" * with_text
         return written(P.each(joined, schema, cut), "kept-bytes")
 
