@@ -19,9 +19,11 @@ no similar pair either, and are compared by a finer signature before any text
 is sent.
 
 Defined results: without words or text the set is empty and linked with
-nothing; equal sets are one class whatever their number; rows that share an id
-count one by one; a null id comes after all others; an empty table gives an
-empty table. Only the two named columns are read.
+nothing; equal sets are one class whatever their number; nodes are shingle sets,
+not ids, so rows that share an id, or have none, are linked one by one; a null
+id comes after all others; an empty table gives an empty table. Only the two
+named columns are read, so others may have any name. A long text is worked on
+whole, as one row.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import _text
@@ -43,6 +45,8 @@ U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEEDS = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, 256, dtype=np.uint64)
+#: Stands for an id that is null.
+LAST = np.iinfo(np.int64).max
 #: Members up to which a posting list makes its pairs: at most SHORT / 2 rows a posting.
 SHORT = 32
 #: Coordinates of the finer signature, a byte each, after those of the first; a pair is missed with a chance under 1e-8.
@@ -72,9 +76,15 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, int, np.nda
         yield a, b, h[new], np.searchsorted(row[new], np.arange(b - a + 1))
 
 
+def _text_key(text: Column) -> list[Column]:
+    """128 bits of a text."""
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, coordinates: int) -> DataFrame:
-    """Per row: id, n_shingles, s1 and s2 (digests of the set), sig (32 bits a coordinate)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    """Per row: id, k1 and k2 (digests of the text), n_shingles, s1 and s2 (digests of the set), sig (32 bits a coordinate)."""
+    t = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t"), *(k.alias(f"k{i + 1}") for i, k in enumerate(_text_key(t))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +100,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, coordina
                     for i in range(coordinates):
                         sig[some, i] = (np.minimum.reduceat(_text.mix(h ^ _SEEDS[i]), at) >> U(32)).astype(np.uint32).view(np.int32)
                 flat = pa.array(sig.ravel())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * coordinates), flat)], names=["id", "n_shingles", "s1", "s2", "sig"])
+                same = (batch.column(c).slice(a, b - a) for c in (0, 2, 3))
+                yield pa.RecordBatch.from_arrays([*same, pa.array(n.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * coordinates), flat)], names=["id", "k1", "k2", "n_shingles", "s1", "s2", "sig"])
 
-    return rows.mapInArrow(run, "id long, n_shingles long, s1 long, s2 long, sig array<int>")
+    return rows.mapInArrow(run, "id long, k1 long, k2 long, n_shingles long, s1 long, s2 long, sig array<int>")
 
 
 def least_matches(coordinates: int, similarity: float, chance: float = 1e-8) -> int:
@@ -183,13 +194,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, texts: DataFrame, matches: int,
     return both.select("a", "b", "t_a", "t_b").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 13, stars: int = 2) -> DataFrame:
-    """Per row: id, n_shingles, component_id (least id of its class)."""
-    last = F.lit(np.iinfo(np.int64).max)
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, coordinates: int, matches: int, stars: int) -> DataFrame:
+    """Per row: id (a null as LAST), k1 and k2 (digests of the text), n_shingles,
+    first (id, k1 and k2 of the first row of its class; null without words)."""
+    last = F.lit(LAST)
     rows = written(signatures(docs, id_col, text_col, words, coordinates).withColumn("id", F.coalesce("id", last)), "signatures")
     own = rows.filter("n_shingles > 0")
-    sets = own.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    sets = written(sets, "sets")
+    sets = own.groupBy("s1", "s2").agg(F.min(F.struct("id", "k1", "k2")).alias("row"), F.min("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    # the number of a set holds once it is written
+    sets = written(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")
 
     post = sets.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", F.expr("shiftleft(cast(i AS bigint), 32) | (cast(v AS bigint) & 4294967295)").alias("key"))
     length = post.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -198,9 +211,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefix = f"slice(keys, 1, greatest(0, {coordinates - matches + 1} - ({coordinates} - size(keys))))"
     lists = shared.select("rep", F.explode(F.expr(prefix)).alias("x")).select("rep", F.col("x.key").alias("key"))
     lists = written(lists, "postings")
-    some = lists.select("rep").distinct()
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("rep"), F.col(text_col).cast("string").alias("t")).join(some, "rep", "left_semi")
-    texts = written(texts.dropDuplicates(["rep"]), "candidate-texts")
+    some = lists.select("rep").distinct().join(sets.select("rep", "row.id", "row.k1", "row.k2"), "rep")
+    t = F.col(text_col).cast("string")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), t.alias("t"), *(k.alias(f"k{i + 1}") for i, k in enumerate(_text_key(t))))
+    texts = written(texts.join(some, ["id", "k1", "k2"]).select("rep", "t").dropDuplicates(["rep"]), "candidate-texts")
 
     label = None
     edges = None
@@ -221,17 +235,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = written(confirmed(pairs.distinct(), sets, texts, matches, words, percent), "links")
         edges = found if edges is None else edges.unionByName(found)
         label = components(edges)
-    out = rows.join(sets.select("s1", "s2", "rep"), ["s1", "s2"], "left").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep")).otherwise(F.col("id"))
-    null_last = lambda c: F.when(c < last, c)
-    return out.select(null_last(F.col("id")).alias("id"), "n_shingles", null_last(component).alias("component_id"))
+    rooted = sets.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("s1", "s2", "row", F.coalesce("label", "rep").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("row").alias("first"))
+    told = rooted.join(first, "root").select("s1", "s2", "first")
+    some = rows.filter("n_shingles > 0").join(told, ["s1", "s2"]).select("id", "k1", "k2", "n_shingles", "first")
+    none = rows.filter("n_shingles = 0").select("id", "k1", "k2", "n_shingles", F.lit(None).cast(some.schema["first"].dataType).alias("first"))
+    return some.unionByName(none)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that are the least id of their class; all columns stay."""
-    classes = near_duplicates(docs, id_col, text_col, **options)
-    gone = classes.filter("component_id <> id").select(F.col("id").alias("gone_id"))
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 13, stars: int = 2) -> DataFrame:
+    """Per row: id, n_shingles, component_id (least id of its class; null if all its rows have none)."""
+    found = _classes(docs, id_col, text_col, words, percent, coordinates, matches, stars)
+    null_last = lambda c: F.when(c < LAST, c)
+    return found.select(null_last(F.col("id")).alias("id"), "n_shingles", null_last(F.coalesce("first.id", "id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, coordinates: int = 32, matches: int = 13, stars: int = 2) -> DataFrame:
+    """One document of each class, the one of least id (of rows that share the
+    least id the one of least text digest); all columns stay. Texts without words all stay."""
+    found = written(_classes(docs, id_col, text_col, words, percent, coordinates, matches, stars), "classes").filter("n_shingles > 0")
+    same = F.col("first") == F.struct("id", "k1", "k2")
+    gone = found.filter(~same).select("id", "k1", "k2").distinct().alias("gone")
+    own = [F.coalesce(docs[id_col].cast("long"), F.lit(LAST)), *_text_key(docs[text_col].cast("string"))]
+    meets = lambda t: (own[0] == F.col(f"{t}.id")) & (own[1] == F.col(f"{t}.k1")) & (own[2] == F.col(f"{t}.k2"))
+    kept = docs.join(gone, meets("gone"), "left_anti")
+    again = found.filter(same).groupBy("id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").alias("again")
+    if again.isEmpty():
+        return kept
+    # rows alike in id and text: one of them
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    many = kept.join(again, meets("again"), "left_semi").toDF(*names)
+    one = many.dropDuplicates([names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]]).toDF(*docs.columns)
+    return kept.join(again, meets("again"), "left_anti").unionByName(one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
