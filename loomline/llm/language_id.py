@@ -20,9 +20,7 @@ read, others may have any name; a text of any length is judged whole, in one row
 
 from __future__ import annotations
 
-import functools
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,16 +40,21 @@ LOW, SLACK = 0.005, 0.5
 SPARE = 1.25
 
 
-@functools.cache
-def _not_letters() -> re.Pattern:
-    """Runs of anything but letters. ``\\w`` also has numerals, which are no letters."""
-    numerals = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-    return re.compile(rf"[\W\d_{re.escape(numerals)}]+")
+#: ``\\w`` without decimal digits still has other numerals, which are no letters; few texts have any.
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """The text's runs of letters in lower case, a blank between two."""
+    clean = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    if clean.replace(" ", "").isalpha():
+        return clean
+    return " ".join("".join(c if c.isalpha() else " " for c in clean).split())
 
 
 def grams(text: str) -> np.ndarray:
     """The codes of all n-grams of a text, n from 1 to 3: 21 bits a code point."""
-    clean = _not_letters().sub(" ", text.lower()).strip()
+    clean = letters(text)
     if not clean:
         return np.zeros(0, np.int64)
     c = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
