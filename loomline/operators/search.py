@@ -53,6 +53,25 @@ def baseline(spark: SparkSession, components: DataFrame, weights: Weights = Weig
     return evaluate(spark.createDataFrame(row, "ord long, tree_edit double, token_similarity double, structural double, signature double"), components)
 
 
+def best_method(runs: dict[str, DataFrame]) -> DataFrame:
+    """The row of the greatest score among methods in order; a later method must be strictly better."""
+    out = None
+    for i, (name, rows) in enumerate(runs.items()):
+        rows = rows.select(F.lit(i).alias("priority"), F.lit(name).alias("method"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out.orderBy(F.desc("score"), "priority").limit(1).drop("priority")
+
+
+def notable_generations(history: list[dict], every: int = 10) -> list[dict]:
+    """Each tenth generation of a search, and the last."""
+    return [h for i, h in enumerate(history) if h["generation"] % every == 0 or i == len(history) - 1]
+
+
+def top_individuals(evaluated: DataFrame, k: int = 5) -> DataFrame:
+    """The best weight vectors of :func:`evaluate`; ties in order."""
+    return evaluated.orderBy(F.desc("score"), "ord").limit(k)
+
+
 def _normal(x: np.ndarray) -> np.ndarray:
     return x / x.sum()
 

@@ -5,9 +5,13 @@ Case tables have idx, expected, actual, category; ``measured`` adds the rest.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.session import checkpointed
+
 #: Bands by lower edge, first match wins; a metric at or above HIGH counts as positive.
 SIZE_BANDS = ((100, "XLarge"), (30, "Large"), (10, "Medium"), (None, "Small"))
 COMPLEXITY_BANDS = ((15, "Very High"), (7, "High"), (3, "Medium"), (None, "Low"))
@@ -48,12 +52,52 @@ def pearson(cases: DataFrame) -> DataFrame:
     return m.select(F.when((F.col("vx") > 0) & (F.col("vy") > 0), F.col("c") / F.sqrt(F.col("vx") * F.col("vy"))).otherwise(0.0).alias("pearson_r"))
 
 
+def running(rows: DataFrame, by: Sequence[str], order: Sequence[Column], what: Column, name: str) -> DataFrame:
+    """Adds the running sum of a number over the rows of each group, in order.
+
+    No task has a whole group: rows are dealt by ranges of (group, order), each
+    range is summed by itself, and gets what the ranges before it add up to (a
+    row a group and range).
+    """
+    dealt = checkpointed(rows.withColumn("_what", what).repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*by, "_p").agg(F.sum("_what").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    # ranges of one partition's number: as many rows as partitions, or groups if those are more
+    inside = Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = dealt.withColumn("_own", F.sum("_what").over(inside))
+    same = F.lit(True)
+    for c in (*by, "_p"):
+        same = same & here[c].eqNullSafe(sums[c])
+    out = here.join(sums, same)
+    return out.select(*(here[c] for c in rows.columns), (F.col("_before") + F.col("_own")).alias(name))
+
+
+def counted(rows: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct values of a column by group: k (their number of rows) and upto (rows up to and with the value)."""
+    counts = rows.groupBy(*by, column).agg(F.count(F.lit(1)).alias("k"))
+    return running(counts, by, [F.col(column)], F.col("k"), "upto")
+
+
+def quantiles(rows: DataFrame, column: str, names: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Interpolated quantiles of the values that are not null, a row a group.
+    Values are ordered across tasks, so no buffer holds a column."""
+    c = counted(rows.filter(F.col(column).isNotNull()), column, by).withColumnRenamed(column, "_v")
+    n = c.groupBy(*by).agg(F.max("upto").alias("_n"))
+    c = c.join(F.broadcast(n), list(by)) if by else c.crossJoin(F.broadcast(n))  # a row a group
+    ends = {}
+    for name, q in names.items():
+        at = F.lit(q) * (F.col("_n") - 1)
+        for end, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            ends[f"{name}_{end}"] = F.min(F.when(F.col("upto") > place, F.col("_v")))
+    got = c.groupBy(*by).agg(F.first("_n").alias("_n"), *(x.alias(k) for k, x in ends.items()))
+    at = lambda q: F.lit(q) * (F.col("_n") - 1)
+    return got.select(*by, *((F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * (at(q) - F.floor(at(q)))).alias(k) for k, q in names.items()))
+
+
 def ranked(rows: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the 1-based rank of a column, ties averaged. Ranks come from counts
-    by value, so equal values are combined before the one ordered pass."""
-    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_k"))
-    upto = F.sum("_k").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    table = counts.select(F.col(column).alias("_v"), (upto - (F.col("_k") - 1) / 2).alias(name))
+    by value, so equal values are combined before they are ordered."""
+    table = counted(rows, column).select(F.col(column).alias("_v"), (F.col("upto") - (F.col("k") - 1) / 2).alias(name))
     return rows.join(table, rows[column].eqNullSafe(table["_v"])).drop("_v")
 
 
@@ -78,18 +122,20 @@ def distribution(cases: DataFrame) -> DataFrame:
     """Moments and quartiles of the error; population moments, 0 without variance."""
     m = measured(cases)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    p = lambda q: F.percentile("error", F.lit(q))
-    d = m.agg(zero(F.avg("error")).alias("mean"), zero(p(0.5)).alias("median"), zero(F.stddev_pop("error")).alias("sd"), zero(F.skewness("error")).alias("skewness"), zero(F.kurtosis("error")).alias("kurtosis"), zero(p(0.25)).alias("q25"), zero(p(0.75)).alias("q75"))
-    return d.withColumn("iqr", F.col("q75") - F.col("q25"))
+    d = m.agg(zero(F.avg("error")).alias("mean"), zero(F.stddev_pop("error")).alias("sd"), zero(F.skewness("error")).alias("skewness"), zero(F.kurtosis("error")).alias("kurtosis"))
+    q = quantiles(m, "error", {"median": 0.5, "q25": 0.25, "q75": 0.75})
+    return d.crossJoin(F.broadcast(q)).select("mean", zero(F.col("median")).alias("median"), "sd", "skewness", "kurtosis", zero(F.col("q25")).alias("q25"), zero(F.col("q75")).alias("q75")).withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
 def category_stats(cases: DataFrame) -> DataFrame:
     m = measured(cases)
     first = -F.col("idx")
-    return m.groupBy("category").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("error").alias("mean_error"), F.percentile("error", F.lit(0.5)).alias("median_error"), F.stddev_pop("error").alias("sd_error"), F.avg("expected").alias("mean_expected"), F.avg("actual").alias("mean_actual"),
+    out = m.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("error").alias("mean_error"), F.stddev_pop("error").alias("sd_error"), F.avg("expected").alias("mean_expected"), F.avg("actual").alias("mean_actual"),
         F.max_by("idx", F.struct("error", first)).alias("worst_idx"), F.min_by("idx", F.struct("error", "idx")).alias("best_idx"),
     )
+    q = quantiles(m.withColumn("_category", F.coalesce(F.col("category"), F.lit("\0"))), "error", {"median_error": 0.5}, ["_category"])
+    return out.join(q, F.coalesce(out["category"], F.lit("\0")) == q["_category"]).drop("_category")
 
 
 def consistency(cases: DataFrame) -> DataFrame:
@@ -103,14 +149,24 @@ def consistency(cases: DataFrame) -> DataFrame:
 def discrimination(cases: DataFrame) -> DataFrame:
     """Of pairs with different expected values the share that is in the right
     order; a tie of actual values is right if the earlier row expects more.
-    0.5 without pairs. Pairs are counted between distinct (expected, actual)
-    values, not between rows; ties, which depend on order, are counted by rank."""
+    0.5 without pairs.
+
+    No pair is made. Rows are numbered by expected value; two numbers differ
+    first in one bit, so each pair belongs to one (bit, what is above it), where
+    the row with the bit set expects more. In order of the actual value (ties:
+    later rows first) a running count of the rows without the bit is the number
+    of pairs in the right order of each row with it: n log n rows in all.
+    """
     rows = cases.select("idx", "expected", "actual")
-    v = rows.groupBy("expected", "actual").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    pairs = v.alias("x").join(v.alias("y"), F.expr("x.expected > y.expected"))
-    s = pairs.agg(F.sum(F.expr("x.k * y.k")).alias("all"), F.sum(F.expr("CASE WHEN x.actual > y.actual THEN x.k * y.k ELSE 0 END")).alias("right"))
-    tie = rows.alias("x").join(rows.alias("y"), F.expr("x.actual = y.actual AND x.idx < y.idx AND x.expected > y.expected")).agg(F.count(F.lit(1)).alias("ties"))
-    return s.crossJoin(F.broadcast(tie)).select(F.coalesce(F.try_divide(F.col("right") + F.col("ties"), F.col("all")), F.lit(0.5)).alias("discrimination"))
+    number = counted(rows, "expected").select(F.col("expected").alias("_v"), "k", (F.col("upto") - F.col("k")).alias("e"))
+    n = number.agg(F.sum("k").alias("n"), F.sum(F.expr("k * (k - 1.0D) / 2")).alias("same"))
+    bits = max(1, int(n.first()["n"] or 0).bit_length())
+    each = rows.join(number, rows["expected"].eqNullSafe(number["_v"])).select("idx", "actual", "e", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    each = each.select("idx", "actual", "bit", F.expr("shiftright(e, bit + 1)").alias("above"), F.expr("shiftright(e, bit) & 1").alias("set"))
+    got = running(each, ["bit", "above"], [F.col("actual"), F.col("idx").desc()], F.lit(1) - F.col("set"), "below")
+    right = got.filter("set = 1").agg(F.sum("below").alias("right"))
+    every = n.select(F.expr("n * (n - 1.0D) / 2 - same").alias("every"))
+    return every.crossJoin(F.broadcast(right)).select(F.coalesce(F.try_divide(F.coalesce("right", F.lit(0)).cast("double"), F.col("every")), F.lit(0.5)).alias("discrimination"))
 
 
 def package_stats(units: DataFrame, pairs: DataFrame, package: str = "package") -> DataFrame:
@@ -134,5 +190,29 @@ def duplication_metrics(pairs: DataFrame) -> DataFrame:
     return m.withColumn("duplication_percent", F.coalesce(F.try_divide(F.col("high") * 100.0, F.col("n_pairs")), F.lit(0.0)))
 
 
+def top_packages(packages: DataFrame, k: int = 5) -> DataFrame:
+    """The packages of :func:`package_stats` with the greatest duplication ratio; ties by name."""
+    return packages.orderBy(F.desc("duplication_ratio"), "package").limit(k)
+
+
+def worst_cases(cases: DataFrame, k: int = 5) -> DataFrame:
+    """The cases with the greatest error; ties by index."""
+    return measured(cases).orderBy(F.desc("error"), "idx").limit(k)
+
+
+def comparisons(units: DataFrame, seconds: float = 0.0) -> DataFrame:
+    """Performance metrics of one scan: comparisons n (n - 1) / 2, mean seconds
+    a comparison; memory, hit rate and efficiency are not measured (0, 0, 1)."""
+    n = units.agg(F.count(F.lit(1)).alias("n_functions"))
+    c = F.expr("n_functions * (n_functions - 1) div 2")
+    return n.select("n_functions", c.alias("comparisons"), F.coalesce(F.try_divide(F.lit(seconds), c), F.lit(0.0)).alias("mean_seconds"), F.lit(0).cast("long").alias("memory"), F.lit(0.0).alias("hit_rate"), F.lit(1.0).alias("efficiency"))
+
+
+def overall_summary(codebases: DataFrame) -> DataFrame:
+    """Totals over codebases (name, n_functions, n_pairs); average duplication is pairs a function in percent."""
+    t = codebases.agg(F.count(F.lit(1)).alias("codebases"), F.coalesce(F.sum("n_functions"), F.lit(0)).alias("n_functions"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("n_pairs"))
+    return t.withColumn("average_duplication", F.coalesce(F.try_divide(F.col("n_pairs") * 100.0, F.col("n_functions")), F.lit(0.0)))
+
+
 def robustness(r: Column, error_variance: Column) -> Column:
     return F.abs(r) / (1 + error_variance)

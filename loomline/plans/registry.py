@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from loomline.config import Options
 from loomline.functions import metrics as M
 from loomline.operators import graph, search, stats
-from loomline.operators.pairs import blocked, score_pairs
+from loomline.operators.pairs import candidate_counts, component_estimates, score_pairs
 from loomline.plans.cases import CASES, case_results
-from loomline.plans.units import PAIRS_SQL, TURNS_SQL, turns
-from loomline.sources.scan import ignored
+from loomline.plans.units import TURNS_SQL, pairs_sql, turns
+from loomline.plans.gofiles import GO_FEATURES_SQL, GO_FILES, GO_FUNCTIONS_SQL
+from loomline.sources.scan import codebase_files, ignored, parse_counts, parse_functions, with_lengths
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-OPTIONS = Options(threshold=0.95)
+#: A scan's threshold, that of codebase statistics, and their cap on functions: the defaults.
+OPTIONS, STATISTICS, MAX_FUNCTIONS = Options(), Options(threshold=0.7), 1000
+PAIRS_SQL, STATISTICS_SQL = pairs_sql(0.8), pairs_sql(0.7)
 PATTERNS = ("vendor/", "*.html", "index")
 
 
@@ -29,12 +32,17 @@ def _named(sql: str | None = None):
     return add
 
 
-def _r(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+def _r(*names: str, digits: int = 6) -> list:
+    return [F.round(n, digits).alias(n) for n in names]
 
 
-def _pairs(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
-    return score_pairs(turns(spark, sf_dir), OPTIONS, **more)
+def _score(name: str = "similarity") -> list:
+    """Scores are short decimals, many of them half-way between six digits."""
+    return _r(name, digits=12)
+
+
+def _pairs(spark: SparkSession, sf_dir: str, options: Options = OPTIONS, **more) -> DataFrame:
+    return score_pairs(turns(spark, sf_dir), options, **more)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,19 +77,17 @@ def q_tokens_norm(spark, sf_dir):
 @_named(f"""WITH {TURNS_SQL} SELECT least(a.role, b.role) AS role1, greatest(a.role, b.role) AS role2, CAST(count(*) AS BIGINT) AS n FROM units a JOIN units b ON a.ord < b.ord
 WHERE abs(strlen(a.signature) - strlen(b.signature)) <= 50 AND greatest(a.line_count, b.line_count) <= 3 * least(a.line_count, b.line_count) GROUP BY 1, 2""")
 def q_pair_candidates(spark, sf_dir):
-    left, right, keys = blocked(turns(spark, sf_dir), OPTIONS, 0.1)
-    pairs = left.join(right, keys).filter((F.col("a_ord") < F.col("b_ord")) & M.may_be_similar(OPTIONS))
-    return pairs.groupBy(F.least("a_struct_sig", "b_struct_sig").alias("role1"), F.greatest("a_struct_sig", "b_struct_sig").alias("role2")).agg(F.count(F.lit(1)).alias("n"))
+    return candidate_counts(turns(spark, sf_dir), OPTIONS).select(F.col("least").alias("role1"), F.col("greatest").alias("role2"), F.col("n").cast("long").alias("n"))
 
 
-@_named(f"WITH {PAIRS_SQL} SELECT ord1, ord2, round(similarity, 6) AS similarity, category FROM pairs")
+@_named(f"WITH {PAIRS_SQL} SELECT ord1, ord2, round(similarity, 12) AS similarity, category FROM pairs")
 def q_pair_scores(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("ord1", "ord2", *_r("similarity"), "category")
+    return _pairs(spark, sf_dir).select("ord1", "ord2", *_score(), "category")
 
 
-@_named(f"WITH {PAIRS_SQL} SELECT ord1, ord2, file1, file2, round(similarity, 6) AS similarity FROM pairs WHERE file1 <> file2")
+@_named(f"WITH {PAIRS_SQL} SELECT ord1, ord2, file1, file2, round(similarity, 12) AS similarity FROM pairs WHERE file1 <> file2")
 def q_cross_file_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir, cross_file=True).select("ord1", "ord2", "file1", "file2", *_r("similarity"))
+    return _pairs(spark, sf_dir, cross_file=True).select("ord1", "ord2", "file1", "file2", *_score())
 
 
 GROUPS_SQL = f"""WITH RECURSIVE {PAIRS_SQL},
@@ -92,9 +98,9 @@ groups AS (SELECT group_key, CAST(count(*) AS BIGINT) AS n_members FROM label GR
 matched AS (SELECT group_key, CAST(count(*) AS BIGINT) AS n_matches, max(similarity) AS best FROM pairs JOIN label ON ord1 = u GROUP BY 1)"""
 
 
-@_named(GROUPS_SQL + " SELECT g.group_key, n_members, n_matches, round(best, 6) AS best FROM groups g JOIN matched m ON g.group_key = m.group_key")
+@_named(GROUPS_SQL + " SELECT g.group_key, n_members, n_matches, round(best, 12) AS best FROM groups g JOIN matched m ON g.group_key = m.group_key")
 def q_dup_groups(spark, sf_dir):
-    return graph.groups(_pairs(spark, sf_dir).cache(), "ord1", "ord2").select("group_key", "n_members", "n_matches", *_r("best"))
+    return graph.groups(_pairs(spark, sf_dir).cache(), "ord1", "ord2").select("group_key", "n_members", "n_matches", *_score("best"))
 
 
 @_named(GROUPS_SQL + " SELECT CAST(count(*) AS BIGINT) AS duplications FROM label")
@@ -119,43 +125,43 @@ def q_complexity_hist(spark, sf_dir):
     return stats.histogram(_documents(spark, sf_dir).withColumn("x", F.size(F.split("text", "\n"))), "x", stats.COMPLEXITY_BANDS)
 
 
-@_named("SELECT CASE WHEN x >= 0.9 THEN 'Very High (0.9+)' WHEN x >= 0.8 THEN 'High (0.8-0.9)' WHEN x >= 0.7 THEN 'Medium (0.7-0.8)' ELSE 'Low (0.6-0.7)' END AS band, CAST(count(*) AS BIGINT) AS n FROM (SELECT least(1.0::DOUBLE, n_chars / 4000.0::DOUBLE) AS x FROM documents) WHERE x >= 0.1 GROUP BY 1")
+@_named(f"WITH {STATISTICS_SQL} SELECT CASE WHEN similarity >= 0.9 THEN 'Very High (0.9+)' WHEN similarity >= 0.8 THEN 'High (0.8-0.9)' WHEN similarity >= 0.7 THEN 'Medium (0.7-0.8)' ELSE 'Low (0.6-0.7)' END AS band, CAST(count(*) AS BIGINT) AS n FROM pairs GROUP BY 1")
 def q_sim_hist(spark, sf_dir):
-    return stats.histogram(_documents(spark, sf_dir).withColumn("x", F.least(F.lit(1.0), F.col("n_chars") / 4000.0)), "x", stats.SIMILARITY_BANDS)
+    return stats.histogram(_pairs(spark, sf_dir, STATISTICS), "similarity", stats.SIMILARITY_BANDS)
 
 
-PACKAGE_SQL = f"""WITH {PAIRS_SQL}, side AS (SELECT role1 AS package, ord1, ord2, similarity FROM pairs UNION ALL SELECT role2, ord1, ord2, similarity FROM pairs WHERE role1 <> role2)"""
+PACKAGE_SQL = f"""WITH {STATISTICS_SQL}, side AS (SELECT role1 AS package, ord1, ord2, similarity FROM pairs UNION ALL SELECT role2, ord1, ord2, similarity FROM pairs WHERE role1 <> role2)"""
 
 
 @_named(PACKAGE_SQL + """, n AS (SELECT role AS package, CAST(count(*) AS BIGINT) AS n_functions, avg(len(stmt_kinds)) AS c FROM units GROUP BY 1), p AS (SELECT package, CAST(count(*) AS BIGINT) AS n_pairs, avg(similarity) AS s FROM side GROUP BY 1)
 SELECT n.package, n_functions, round(c, 6) AS avg_complexity, coalesce(n_pairs, 0) AS n_pairs, round(coalesce(s, 0.0), 6) AS avg_similarity, round(coalesce(n_pairs, 0) / CAST(n_functions AS DOUBLE), 6) AS duplication_ratio FROM n LEFT JOIN p ON n.package = p.package""")
 def q_package_stats(spark, sf_dir):
-    out = stats.package_stats(turns(spark, sf_dir), _pairs(spark, sf_dir))
+    out = stats.package_stats(turns(spark, sf_dir), _pairs(spark, sf_dir, STATISTICS))
     return out.select("package", "n_functions", *_r("avg_complexity"), "n_pairs", *_r("avg_similarity", "duplication_ratio"))
 
 
-@_named(PACKAGE_SQL + " SELECT package, rank, ord1, ord2, round(similarity, 6) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY package ORDER BY similarity DESC, ord1, ord2) AS BIGINT) AS rank FROM side) WHERE rank <= 5")
+@_named(PACKAGE_SQL + " SELECT package, rank, ord1, ord2, round(similarity, 12) AS similarity FROM (SELECT *, CAST(row_number() OVER (PARTITION BY package ORDER BY similarity DESC, ord1, ord2) AS BIGINT) AS rank FROM side) WHERE rank <= 5")
 def q_package_topk(spark, sf_dir):
     units = turns(spark, sf_dir).select("ord", "role")
-    p = _pairs(spark, sf_dir).join(units.select(F.col("ord").alias("ord1"), F.col("role").alias("r1")), "ord1").join(units.select(F.col("ord").alias("ord2"), F.col("role").alias("r2")), "ord2")
+    p = _pairs(spark, sf_dir, STATISTICS).join(units.select(F.col("ord").alias("ord1"), F.col("role").alias("r1")), "ord1").join(units.select(F.col("ord").alias("ord2"), F.col("role").alias("r2")), "ord2")
     p = p.withColumn("package", F.explode(F.array_distinct(F.array("r1", "r2"))))
-    return stats.top_pairs(p, "package").select("package", F.col("rank").cast("long").alias("rank"), "ord1", "ord2", *_r("similarity"))
+    return stats.top_pairs(p, "package").select("package", F.col("rank").cast("long").alias("rank"), "ord1", "ord2", *_score())
 
 
-@_named(f"WITH {PAIRS_SQL} SELECT CAST(count(*) AS BIGINT) AS n_pairs, CAST(count(*) FILTER (similarity >= 0.8) AS BIGINT) AS high, CAST(count(*) FILTER (similarity >= 0.6 AND similarity < 0.8) AS BIGINT) AS medium, CAST(count(*) FILTER (category IN ('near-duplicate', 'refactoring-candidate')) AS BIGINT) AS candidates, coalesce(round(count(*) FILTER (similarity >= 0.8) * 100.0::DOUBLE / nullif(count(*), 0), 6), 0.0) AS duplication_percent FROM pairs")
+@_named(f"WITH {STATISTICS_SQL} SELECT CAST(count(*) AS BIGINT) AS n_pairs, CAST(count(*) FILTER (similarity >= 0.8) AS BIGINT) AS high, CAST(count(*) FILTER (similarity >= 0.6 AND similarity < 0.8) AS BIGINT) AS medium, CAST(count(*) FILTER (category IN ('near-duplicate', 'refactoring-candidate')) AS BIGINT) AS candidates, coalesce(round(count(*) FILTER (similarity >= 0.8) * 100.0::DOUBLE / nullif(count(*), 0), 6), 0.0) AS duplication_percent FROM pairs")
 def q_dup_metrics(spark, sf_dir):
-    return stats.duplication_metrics(_pairs(spark, sf_dir)).select("n_pairs", "high", "medium", "candidates", *_r("duplication_percent"))
+    return stats.duplication_metrics(_pairs(spark, sf_dir, STATISTICS)).select("n_pairs", "high", "medium", "candidates", *_r("duplication_percent"))
 
 
-@_named(f"WITH {PAIRS_SQL} SELECT ord1, ord2, round(similarity, 6) AS similarity FROM pairs ORDER BY pairs.similarity DESC, ord1, ord2 LIMIT 10")
+@_named(f"WITH {PAIRS_SQL} SELECT ord1, ord2, round(similarity, 12) AS similarity FROM pairs ORDER BY pairs.similarity DESC, ord1, ord2 LIMIT 10")
 def q_topk_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).orderBy(F.desc("similarity"), "ord1", "ord2").limit(10).select("ord1", "ord2", *_r("similarity"))
+    return _pairs(spark, sf_dir).orderBy(F.desc("similarity"), "ord1", "ord2").limit(10).select("ord1", "ord2", *_score())
 
 
-@_named("WITH " + PAIRS_SQL.replace("FROM conversations WHERE text IS NOT NULL)", "FROM (SELECT * FROM conversations WHERE text IS NOT NULL ORDER BY conv_id * 1000 + turn LIMIT 200))") + " SELECT ord1, ord2, round(similarity, 6) AS similarity FROM pairs")
+@_named("WITH " + STATISTICS_SQL.replace("FROM conversations WHERE text IS NOT NULL)", "FROM (SELECT * FROM conversations WHERE text IS NOT NULL ORDER BY conv_id * 1000 + turn LIMIT 1000))") + " SELECT ord1, ord2, round(similarity, 12) AS similarity FROM pairs")
 def q_limit_then_pair(spark, sf_dir):
-    """The cap on functions of a codebase: the first 200 units, then pairs."""
-    return score_pairs(turns(spark, sf_dir).orderBy("ord").limit(200), OPTIONS).select("ord1", "ord2", *_r("similarity"))
+    """The cap on functions of a codebase: the first units, then pairs."""
+    return score_pairs(turns(spark, sf_dir).orderBy("ord").limit(MAX_FUNCTIONS), STATISTICS).select("ord1", "ord2", *_score())
 
 
 @_named("""SELECT page_id, url, (starts_with(regexp_extract(url, '([^/]*)$', 1), '.') OR contains(url, '/vendor/') OR contains(url, '/bin/') OR contains(url, '/build/') OR contains(url, '/dist/') OR contains(url, '/target/') OR contains(url, '/.git/')
@@ -252,7 +258,68 @@ def q_baseline(spark, sf_dir):
 
 @_named()
 def q_genetic(spark, sf_dir):
-    """The history of a short genetic search; SQL has no such loop."""
+    """The history of a genetic search; SQL has no such loop."""
     components = case_results(spark).cache()
-    _, _, history = search.genetic_search(spark, components, size=12, generations=5, elite=2)
+    _, _, history = search.genetic_search(spark, components, size=30, generations=50, elite=3)
     return spark.createDataFrame([(h["generation"], h["best"], h["mean"], h["worst"], h["diversity"]) for h in history], "generation int, best double, mean double, worst double, diversity double")
+
+
+@_named(f"WITH {TURNS_SQL}, c AS (SELECT count(*) AS n FROM units) SELECT CAST(n AS BIGINT) AS n_functions, CAST(n * (n - 1) / 2 AS BIGINT) AS comparisons, 0.0::DOUBLE AS mean_seconds, 0::BIGINT AS memory, 0.0::DOUBLE AS hit_rate, 1.0::DOUBLE AS efficiency FROM c")
+def q_performance(spark, sf_dir):
+    return stats.comparisons(turns(spark, sf_dir))
+
+
+@_named(PACKAGE_SQL + """, n AS (SELECT role AS package, CAST(count(*) AS BIGINT) AS n_functions FROM units GROUP BY 1), p AS (SELECT package, CAST(count(*) AS BIGINT) AS n_pairs FROM side GROUP BY 1), t AS (SELECT n.package, n_functions, coalesce(n_pairs, 0) AS n_pairs FROM n LEFT JOIN p ON n.package = p.package)
+SELECT CAST(count(*) AS BIGINT) AS codebases, CAST(sum(n_functions) AS BIGINT) AS n_functions, CAST(sum(n_pairs) AS BIGINT) AS n_pairs, round(coalesce(sum(n_pairs) * 100.0::DOUBLE / nullif(sum(n_functions), 0), 0), 6) AS average_duplication FROM t""")
+def q_overall_summary(spark, sf_dir):
+    """Each role as a codebase."""
+    per = stats.package_stats(turns(spark, sf_dir), _pairs(spark, sf_dir, STATISTICS))
+    return stats.overall_summary(per).select("codebases", "n_functions", "n_pairs", *_r("average_duplication"))
+
+
+@_named(PACKAGE_SQL + """, n AS (SELECT role AS package, CAST(count(*) AS BIGINT) AS n_functions FROM units GROUP BY 1), p AS (SELECT package, CAST(count(*) AS BIGINT) AS n_pairs FROM side GROUP BY 1)
+SELECT n.package, round(coalesce(n_pairs, 0) / CAST(n_functions AS DOUBLE), 6) AS duplication_ratio FROM n LEFT JOIN p ON n.package = p.package ORDER BY coalesce(n_pairs, 0) / CAST(n_functions AS DOUBLE) DESC, n.package LIMIT 5""")
+def q_top_packages(spark, sf_dir):
+    return stats.top_packages(stats.package_stats(turns(spark, sf_dir), _pairs(spark, sf_dir, STATISTICS))).select("package", *_r("duplication_ratio"))
+
+
+@_named(f"WITH {CASES_SQL} SELECT idx, category, round(expected, 6) AS expected, round(actual, 6) AS actual, round(error, 6) AS error FROM m ORDER BY m.error DESC, idx LIMIT 5")
+def q_worst_cases(spark, sf_dir):
+    return stats.worst_cases(_cases(spark, sf_dir)).select("idx", "category", *_r("expected", "actual", "error"))
+
+
+@_named(f"WITH {PAIRS_SQL} SELECT ord1, ord2, round(similarity, 12) AS similarity, round(similarity * 0.3, 12) AS tree_est, round(similarity * 0.3, 12) AS tok_est, round(similarity * 0.25, 12) AS structural_est, round(similarity * 0.15, 12) AS sig_est, 1.0::DOUBLE AS tree, round(CASE WHEN exact THEN 1.0 ELSE tok END, 12) AS tok, round(structural, 12) AS structural, round(sig, 12) AS sig FROM pairs")
+def q_component_estimates(spark, sf_dir):
+    got = component_estimates(_pairs(spark, sf_dir), OPTIONS)
+    return got.select("ord1", "ord2", *_r("similarity", "tree_est", "tok_est", "structural_est", "sig_est", "tree", "tok", "structural", "sig", digits=12))
+
+
+@_named()
+def q_best_method(spark, sf_dir):
+    """The better of default weights and grid search."""
+    components = case_results(spark).cache()
+    names = ("tree_edit", "token_similarity", "structural", "signature", "score")
+    runs = {"baseline": search.baseline(spark, components), "grid": search.grid_search(spark, components)}
+    return search.best_method({k: v.select(*names) for k, v in runs.items()}).select("method", *_r(*names))
+
+
+def _go_files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(GO_FILES.items()), "path string, content string")
+
+
+@_named(GO_FUNCTIONS_SQL)
+def q_parse_go(spark, sf_dir):
+    """Functions of a few Go files: place, size, signature, complexity."""
+    return parse_functions(codebase_files(_go_files(spark))).filter("error IS NULL").select("file", "package", "name", "start_line", "end_line", "signature", "complexity", F.array_join("stmt_kinds", " ").alias("stmt_kinds"), "ret_binop")
+
+
+@_named(GO_FEATURES_SQL)
+def q_go_features(spark, sf_dir):
+    """The features that pairs of functions are compared by."""
+    return with_lengths(parse_functions(codebase_files(_go_files(spark)))).select("file", "name", "token_str", "struct_sig", "shape_sig", "hash", F.col("tok_len").cast("long").alias("tok_len"))
+
+
+@_named("SELECT 6::BIGINT AS n_files, 5::BIGINT AS n_ok, 1::BIGINT AS n_failed, 7::BIGINT AS n_functions")
+def q_parse_counts(spark, sf_dir):
+    """Files by the codebase rules, those read and not read, functions."""
+    return parse_counts(_go_files(spark))

@@ -30,7 +30,7 @@ TURNS_SQL = """units AS (
   FROM conversations WHERE text IS NOT NULL)"""
 
 #: All pairs by brute force: components, then the score.
-PAIRS_SQL = TURNS_SQL + """,
+_PAIRS_SQL = TURNS_SQL + """,
 raw AS (
   SELECT a.ord AS ord1, b.ord AS ord2, a.file AS file1, b.file AS file2, a.role AS role1, b.role AS role2,
          a.signature || ' ' || a.token_str = b.signature || ' ' || b.token_str OR a.token_str = b.token_str AS exact,
@@ -44,7 +44,11 @@ parts AS (
 scored AS (
   SELECT *, CASE WHEN exact THEN 1.0 WHEN strlen(x) = 0 AND strlen(y) = 0 THEN 1.0 WHEN strlen(x) = 0 OR strlen(y) = 0 THEN 0.0
                  ELSE 1.0 - levenshtein(x, y) / CAST(greatest(strlen(x), strlen(y)) AS DOUBLE) END AS tok
-  FROM parts WHERE exact OR 0.3 + 0.25 * structural + 0.15 * sig + 0.3 * (least(strlen(x), strlen(y)) + 1e-9) / (greatest(strlen(x), strlen(y)) + 1e-9) >= 0.95 - 1e-6),
+  FROM parts WHERE exact OR 0.3 + 0.25 * structural + 0.15 * sig + 0.3 * (least(strlen(x), strlen(y)) + 1e-9) / (greatest(strlen(x), strlen(y)) + 1e-9) >= {threshold} - 1e-6),
 pairs AS (
   SELECT *, CASE WHEN similarity >= 0.95 THEN 'near-duplicate' WHEN similarity >= 0.85 THEN 'refactoring-candidate' WHEN similarity >= 0.75 THEN 'similar-logic' ELSE 'related-functionality' END AS category
-  FROM (SELECT *, CASE WHEN exact THEN 1.0 ELSE 0.3 + 0.3 * tok + 0.25 * structural + 0.15 * sig END AS similarity FROM scored) WHERE similarity >= 0.95)"""
+  FROM (SELECT *, CASE WHEN exact THEN 1.0 ELSE 0.3 + 0.3 * tok + 0.25 * structural + 0.15 * sig END AS similarity FROM scored) WHERE similarity >= {threshold})"""
+
+
+def pairs_sql(threshold: float) -> str:
+    return _PAIRS_SQL.replace("{threshold}", repr(threshold))

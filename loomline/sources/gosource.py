@@ -151,7 +151,7 @@ def _print_type(toks: list[Token]) -> str:
         text, before = t.text, toks[i - 1].text if i else ""
         if text == "\n":
             text = "; "
-        glue = not out or text in (")", "]", ",", ".", "; ", "...") and text != "..." or before in ("(", "[", ".", "*", "...", "]", "<-", "\n", "&", "~") or text in ("(", "[") and before in ("func", "map", ")", "interface", "struct") or text == "[" and toks[i - 1].kind == "name" or text == "<-" and before == "chan" or text == "{" or before == "{" or text == "}"
+        glue = not out or text in (")", "]", ",", ".", "; ", "...") and text != "..." or before in ("(", "[", ".", "*", "...", "]", "\n", "&", "~") or before == "<-" and (i < 2 or toks[i - 2].text != "chan") or text in ("(", "[") and before in ("func", "map", ")", "interface", "struct") or text == "[" and toks[i - 1].kind == "name" or text == "<-" and before == "chan" or text == "{" or before == "{" or text == "}"
         if text == "(" and before == ")":
             glue = False
         out += text if glue else " " + text

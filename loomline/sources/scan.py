@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -27,10 +26,57 @@ def built_in_ignored(path: Column) -> Column:
     return hit
 
 
+def glob_regex(pattern: str) -> str | None:
+    """The regular expression of a file name glob: ``*`` and ``?`` stop at a
+    slash, ``[^a-c]`` is a class without, a backslash takes the next sign as it
+    is. A malformed pattern matches nothing (None)."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "*":
+            out += "[^/]*"
+        elif c == "?":
+            out += "[^/]"
+        elif c == "\\":
+            i += 1
+            if i == len(pattern):
+                return None
+            out += re.escape(pattern[i])
+        elif c == "[":
+            i += 1
+            negated = pattern[i : i + 1] == "^"
+            i += negated
+            ranges = ""
+            while i < len(pattern) and (pattern[i] != "]" or not ranges):
+                ends = []
+                while len(ends) < 2:
+                    if pattern[i : i + 1] == "\\":
+                        i += 1
+                    if i >= len(pattern) or not ends and pattern[i] in "-]" and pattern[i - 1] != "\\":
+                        return None
+                    ends.append(pattern[i])
+                    i += 1
+                    if len(ends) == 1 and pattern[i : i + 1] != "-":
+                        break
+                    i += len(ends) == 1
+                if len(ends) == 2 and ends[0] > ends[1]:
+                    return None
+                ranges += "-".join("\\x{%x}" % ord(x) for x in ends)
+            if i >= len(pattern):
+                return None
+            out += f"[{'^' * negated}{ranges}]"
+        else:
+            out += re.escape(c)
+        i += 1
+    return out
+
+
 def pattern_ignored(path: Column, pattern: str) -> Column:
     """A glob against the base name, a part of the path, or for ``dir/`` a folder in it."""
-    glob = re.sub(r"\(\?s:(.*)\)\\[zZ]$", r"\1", fnmatch.translate(pattern)).replace("(?>", "(?:")
-    hit = F.regexp_extract(path, r"([^/\\]*)$", 1).rlike(f"(?s)^(?:{glob})$") | path.contains(pattern)
+    glob = glob_regex(pattern)
+    hit = path.contains(pattern)
+    if glob is not None:
+        hit = hit | F.regexp_extract(path, r"([^/\\]*)$", 1).rlike(f"(?s)^(?:{glob})$")
     if pattern.endswith("/"):
         hit = hit | path.contains("/" + pattern) | path.startswith(pattern)
     return hit
@@ -87,6 +133,17 @@ def parse_functions(files: DataFrame, min_lines: int = 1) -> DataFrame:
     return files.select("path", "content").mapInPandas(parse, FUNCTION_SCHEMA)
 
 
+def parse_counts(files: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """One row: files that the codebase rules leave (``n_files``: counted before
+    any is read), those read and those not read, and functions."""
+    kept = codebase_files(files, more)
+    # one row a file: a file without functions gives no row of its own
+    per = parse_functions(kept).groupBy("file").agg(F.count_if(F.col("error").isNull()).alias("n"), F.count_if(F.col("error").isNotNull()).alias("bad"))
+    t = kept.select("path").join(per, F.col("path") == F.col("file"), "left")
+    ok = F.coalesce(F.col("bad"), F.lit(0)) == 0
+    return t.agg(F.count(F.lit(1)).alias("n_files"), F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_failed"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_functions"))
+
+
 def with_lengths(functions: DataFrame) -> DataFrame:
     """Adds ord (by file, line and name), sig_len and tok_len in bytes."""
     order = F.sha2(F.concat_ws("\x1f", "file", F.lpad(F.col("start_line").cast("string"), 9, "0"), "name"), 256)
