@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import yaml
 
 
+# The defaults below, and the names of keys in load() and save().
 @dataclass(frozen=True)
 class Weights:
     tree_edit: float = 0.3

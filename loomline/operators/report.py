@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import sys
 import time
 from typing import Any
 
@@ -44,6 +45,16 @@ def render(document: dict[str, Any], form: str = "json") -> str:
     raise ValueError(f"unknown format {form!r}")
 
 
+def write(document: dict[str, Any], path: str | None = None, form: str = "json") -> None:
+    """The rendered document to a file of the driver, or to standard output."""
+    text = render(document, form)
+    if path is None:
+        sys.stdout.write(text)
+        return
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+
+
 def record_weights(path: str, weights: Weights, note: str = "") -> None:
     """Append to the history of weights; the last line holds."""
     if not weights.balanced():
@@ -72,3 +83,31 @@ def text_table(rows: DataFrame, title: str, limit: int = 10) -> str:
     got = rows.limit(limit).collect()
     lines = [title, " | ".join(rows.columns)]
     return "\n".join(lines + [" | ".join(f"{x:.6f}" if isinstance(x, float) else str(x) for x in r) for r in got]) + "\n"
+
+
+def sections(*parts: str) -> str:
+    """Several text tables as one report."""
+    return "\n".join(parts)
+
+
+def codebase_report(summary: DataFrame, packages: DataFrame, pairs: DataFrame) -> str:
+    """Summary, the five packages with most duplication, the ten most similar pairs."""
+    return sections(text_table(summary, "Summary"), text_table(packages, "Packages", 5), text_table(pairs, "Most similar pairs", 10))
+
+
+def validation_report(metrics: DataFrame, categories: DataFrame, worst: DataFrame) -> str:
+    """Error metrics, categories and the three worst cases."""
+    return sections(text_table(metrics, "Errors"), text_table(categories, "Categories", 100), text_table(worst, "Worst cases", 3))
+
+
+def history_report(history: list[dict], weights: Weights, score: float) -> str:
+    """Every tenth generation of a search and the last, then what it found."""
+    lines = [f"generation {h['generation']}: best {h['best']:.6f}, mean {h['mean']:.6f}, worst {h['worst']:.6f}, diversity {h['diversity']:.6f}" for h in history]
+    found = ", ".join(f"{k} {v:.4f}" for k, v in dataclasses.asdict(weights).items())
+    return "\n".join([*lines, f"score {score:.6f}: {found}"]) + "\n"
+
+
+def weights_update(old: Weights, new: Weights) -> str:
+    """What changes from one set of weights to another, in percent of the old."""
+    rows = [(k, a, getattr(new, k)) for k, a in dataclasses.asdict(old).items()]
+    return "".join(f"{k}: {a:.4f} -> {b:.4f} ({(b - a) / a * 100:+.1f} %)\n" for k, a, b in rows)

@@ -33,10 +33,10 @@ class GoSyntaxError(ValueError):
 
 
 class Token:
-    __slots__ = ("kind", "line", "text")
+    __slots__ = ("at", "kind", "line", "text")
 
-    def __init__(self, kind: str, text: str, line: int) -> None:
-        self.kind, self.text, self.line = kind, text, line
+    def __init__(self, kind: str, text: str, line: int, at: int = 0) -> None:
+        self.kind, self.text, self.line, self.at = kind, text, line, at
 
 
 def tokens(source: str) -> list[Token]:
@@ -57,7 +57,7 @@ def tokens(source: str) -> list[Token]:
         if kind == "line" or kind == "comment" and text.startswith("/*") and "\n" in text:
             end_line()
         elif kind not in ("space", "comment"):
-            out.append(Token("keyword" if text in _KEYWORDS else kind, text, line))
+            out.append(Token("keyword" if text in _KEYWORDS else kind, text, line, at - len(text)))
         line += text.count("\n")
     end_line()
     return out
@@ -393,7 +393,7 @@ def functions(source: str) -> list[dict]:
         struct_sig = "func(" + ", ".join(plain(t) for _, t in params.fields) + ")" + (" (" + ", ".join(back) + ")" if len(back) > 1 else " " + back[0] if back else "")
         out.append({
             "package": package, "name": name, "start_line": start, "end_line": end, "line_count": end - start + 1, "signature": signature, "struct_sig": struct_sig,
-            "token_str": token_string(text_toks), "stmt_kinds": kinds, "stmt_count": len(kinds), "has_body": True,
+            "source": source[toks[a].at : toks[b - 1].at + len(toks[b - 1].text)], "token_str": token_string(text_toks), "stmt_kinds": kinds, "stmt_count": len(kinds), "has_body": True,
             "ret_binop": any(toks[x].text == "return" and _returns_binary(toks, x, y, pair) for x, y in statements),
             "norm_hash": hashlib.sha256(normalized_text(text_toks, names, types, own).encode()).hexdigest(),
             "complexity": _complexity(toks, body, b, pair),

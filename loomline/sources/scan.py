@@ -15,7 +15,7 @@ from loomline.session import ship_package
 #: Parts of a path that are never scanned, and those that codebase statistics leave out.
 BUILT_IN = ("/vendor/", "/bin/", "/build/", "/dist/", "/target/", "/.git/")
 CODEBASE_EXCLUDES = ("vendor/", ".git/", "testdata/", "_test.go", ".pb.go", "mock_", "generated")
-FUNCTION_SCHEMA = "file string, package string, name string, start_line int, end_line int, line_count int, signature string, struct_sig string, token_str string, stmt_kinds array<string>, stmt_count int, has_body boolean, ret_binop boolean, norm_hash string, complexity int, shape_sig string, hash string, error string"
+FUNCTION_SCHEMA = "file string, package string, name string, start_line int, end_line int, line_count int, signature string, struct_sig string, token_str string, stmt_kinds array<string>, stmt_count int, has_body boolean, ret_binop boolean, norm_hash string, complexity int, shape_sig string, hash string, source string, error string"
 
 
 def built_in_ignored(path: Column) -> Column:
@@ -108,7 +108,7 @@ def source_files(spark: SparkSession, targets: Sequence[str], patterns: Sequence
         rows = reader.load(target).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
         if not target.endswith(".go"):
             rows = rows.filter(~ignored(F.col("path"), patterns))
-        rows = rows.select("path", F.decode("content", F.lit("UTF-8")).alias("content"))
+        rows = rows.select("path", F.col("content").cast("string").alias("content"))
         out = rows if out is None else out.unionByName(rows)
     return out if out is not None else spark.createDataFrame([], "path string, content string")
 
