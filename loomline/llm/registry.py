@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomline.llm import ann, decontaminate, language_id, licenses, lm_scoring, mixing, near_dedup, secrets, substring_dedup, suffix_dedup
+from loomline.llm.oracles import ORACLE_SQL  # noqa: F401  read by the driver's entry
 from loomline.session import ship_package
 
 
@@ -30,4 +31,3 @@ QUERIES = {
         "op10_secret_scan": secrets.query,
     }.items()
 }
-ORACLE_SQL: dict[str, str] = {}

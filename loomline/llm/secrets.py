@@ -32,7 +32,7 @@ BASE_KINDS = (
 OWNED_KINDS = (
     ("issued", r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|eyJ)[A-Za-z0-9_.-]{16,}", 0, 20),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}", 0, 32),
-    ("opaque", r"(?<![A-Za-z0-9+/_])[A-Za-z0-9+/_]{32,}={0,2}", 0, 32),
+    ("opaque", r"[A-Za-z0-9+/_]{32,}={0,2}", 0, 32),
 )
 KINDS = tuple(k for k, *_ in BASE_KINDS + OWNED_KINDS)
 #: What a value of the kind must hold besides.
