@@ -1,18 +1,20 @@
-"""Substring dedup by compaction of a token De Bruijn graph.
-
-Token k-mers are the graph's edges. Only one k-mer of each window (its anchor)
-is looked at: equal windows have the same one at the same place. An anchor with
-the text of all its windows is a path of the graph. If every occurrence of a
-repeated anchor has the same path, the path does not branch: it is compacted,
-and one source coordinate (the least document) stands for all its windows.
-Where contexts differ the graph branches, and the windows there are looked up
-one by one. Paths and their degrees meet in Spark joins; 128-bit digests of
-the words at the source coordinates verify that spans are equal.
+"""Substring dedup by minimiser anchors, in place of a De Bruijn graph of all words.
+
+A graph with an edge for each token k-mer has as many rows as there are words.
+Instead one k-mer of each window (its anchor) stands for a run of consecutive
+windows: equal windows have the same one at the same place. A run is a path of
+that graph which is compacted before it leaves its document. Anchors that occur
+again meet in a Spark join. If all runs of an anchor are equal, they are one
+edge, and the least document stands for all their windows; where contexts
+differ, single windows are joined. Nodes of k - 1 words, their degrees and joins
+of successive edges are not made. 128-bit digests of the words verify that
+spans are equal.
 
 Defined results: a null or empty text has no words; texts shorter than a
 window lose nothing; rows that share an id, like equal rows, do not remove each
 other's words; a null id comes after all others; an empty table gives an empty
-table. Only the two named columns are read.
+table. Only the two named columns are read, so others may have any name. A text
+of any length is one row of its pack and is worked on whole, in segments.
 """
 
 from __future__ import annotations
