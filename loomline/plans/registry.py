@@ -272,7 +272,11 @@ def q_weight_grid(spark, sf_dir):
     return search.weight_grid(spark).select(*_r("tree_edit", "token_similarity", "structural", "signature"))
 
 
-@_named(_grid_sql().replace("WITH ", f"WITH {_CASES}, ") + ", s AS (SELECT i0, i1, i2, i3, w0, w1, w2, w3, 1 - avg(abs(CASE WHEN st IS NULL THEN 1.0 ELSE w0 + w1 * tok + w2 * st + w3 * sg END - expected)) AS score FROM g, cases GROUP BY ALL) SELECT round(w0, 6) AS tree_edit, round(w1, 6) AS token_similarity, round(w2, 6) AS structural, round(w3, 6) AS signature, round(score, 6) AS score FROM s ORDER BY s.score DESC, i0, i1, i2, i3 LIMIT 1")
+_GRID_SCORES = _grid_sql().replace("WITH ", f"WITH {_CASES}, ") + ", s AS (SELECT i0, i1, i2, i3, w0, w1, w2, w3, 1 - avg(abs(CASE WHEN st IS NULL THEN 1.0 ELSE w0 + w1 * tok + w2 * st + w3 * sg END - expected)) AS score FROM g, cases GROUP BY ALL)"
+_GRID_BEST = "SELECT round(w0, 6) AS tree_edit, round(w1, 6) AS token_similarity, round(w2, 6) AS structural, round(w3, 6) AS signature, round(score, 6) AS score FROM s ORDER BY s.score DESC, i0, i1, i2, i3 LIMIT 1"
+
+
+@_named(f"{_GRID_SCORES} {_GRID_BEST}")
 def q_grid_search(spark, sf_dir):
     return search.grid_search(spark, case_results(spark)).select(*_r("tree_edit", "token_similarity", "structural", "signature", "score"))
 
@@ -320,7 +324,7 @@ def q_component_estimates(spark, sf_dir):
     return got.select("ord1", "ord2", *_r("similarity", "tree_est", "tok_est", "structural_est", "sig_est", "tree", "tok", "structural", "sig", digits=12))
 
 
-@_named()
+@_named(f"{_GRID_SCORES}, found AS ({_GRID_BEST}), base AS (SELECT 0.3::DOUBLE AS tree_edit, 0.3::DOUBLE AS token_similarity, 0.25::DOUBLE AS structural, 0.15::DOUBLE AS signature, round(1 - avg(abs(actual - expected)), 6) AS score FROM told), every AS (SELECT 0 AS priority, 'baseline' AS method, * FROM base UNION ALL SELECT 1, 'grid', * FROM found) SELECT method, tree_edit, token_similarity, structural, signature, score FROM every ORDER BY score DESC, priority LIMIT 1")
 def q_best_method(spark, sf_dir):
     """The better of default weights and grid search."""
     components = case_results(spark).cache()
