@@ -201,8 +201,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
     rows = written(signatures(docs, id_col, text_col, words, coordinates).withColumn("id", F.coalesce("id", last)), "signatures")
     own = rows.filter("n_shingles > 0")
     sets = own.groupBy("s1", "s2").agg(F.min(F.struct("id", "k1", "k2")).alias("row"), F.min("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    # the number of a set holds once it is written
-    sets = written(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")
+    # numbers are in order of the sets' first rows, so that the least of a list is the text that came first,
+    # of which the others are versions; they hold once the table is written
+    sets = written(sets.orderBy("row").withColumn("rep", F.monotonically_increasing_id()), "sets")
 
     post = sets.select("rep", F.posexplode("sig").alias("i", "v")).select("rep", F.expr("shiftleft(cast(i AS bigint), 32) | (cast(v AS bigint) & 4294967295)").alias("key"))
     length = post.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
