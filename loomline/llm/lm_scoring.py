@@ -40,8 +40,10 @@ from loomline.llm._scratch import tidied, written
 U = np.uint64
 #: The lowest bit of a word's key is 1, of a pair's 0. A key is KEY bytes beside the bits of its bucket.
 _PAIR, _ODD, KEY = U(0xA54FF53A5F1D36F1), U(0x9E3779B97F4A7C15), 5
-#: Counts of a key (0 where its kind has none): itself, and what follows it, in either model.
-_COUNTS = ("background", "target", "after_background", "after_target")
+#: Counts of a key in either model: itself, and how much less often something follows it (0 for pairs, mostly for words).
+_COUNTS = ("background", "target", "ends_background", "ends_target")
+#: Documents of the target up to which their places are broadcast (some 12 bytes each); more are joined by shuffle.
+BROADCAST_PLACES = 1_000_000
 #: The word that stands before a document's first one; only what follows it is counted.
 _BEGIN = U(0)
 
@@ -64,40 +66,24 @@ def _grams(pack: Pack, bits: int) -> tuple[np.ndarray, ...]:
     return doc, own, own_word, context, own_pair
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The ``width`` low bytes of each number, plane by plane, compressed."""
-    import zstandard
-
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unplanes(x: bytes) -> np.ndarray:
-    import zstandard
-
-    width = x[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x[1:]), np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.view("<u8").ravel()
-
-
 def _short(keys: np.ndarray) -> bytes:
     """The KEY low bytes of ascending keys, as differences."""
     low = keys & U((1 << 8 * KEY) - 1)
-    return _planes(np.diff(low, prepend=U(0)), KEY)
+    return _packs.planes(np.diff(low, prepend=U(0)), KEY)
 
 
 def _long(x: bytes) -> np.ndarray:
-    return np.cumsum(_unplanes(x), dtype=U)
+    return np.cumsum(_packs.unplanes(x), dtype=U)
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    return _planes(x, max(1, (int(x.max()).bit_length() + 7) // 8 if len(x) else 1))
+    """Numbers of either sign, small ones short."""
+    return _packs.planes(((x << 1) ^ (x >> 63)).view(U))
 
 
 def _wide(x: bytes) -> np.ndarray:
-    return _unplanes(x).astype(np.int64)
+    z = _packs.unplanes(x)
+    return (z >> U(1)).astype(np.int64) ^ -(z & U(1)).astype(np.int64)
 
 
 def bucket_bits(packs: DataFrame) -> int:
@@ -105,11 +91,15 @@ def bucket_bits(packs: DataFrame) -> int:
 
 
 def _own_counts(pack: Pack, hits: list[int] | None, doc: np.ndarray, own: np.ndarray, word: np.ndarray, context: np.ndarray, pair: np.ndarray) -> dict[str, np.ndarray]:
-    """The pack's own counts of its keys; ``hits`` are the documents of the target."""
+    """The pack's own counts of its keys; ``hits`` are the documents of the target. The sign before a first word ends less than never."""
     wanted = np.zeros(len(pack.ids), bool)
     wanted[np.array(hits or [], np.int64)] = True
     at, hit = np.concatenate((word, pair)), wanted[doc]
-    return dict(zip(_COUNTS, (np.bincount(x, minlength=len(own)) for x in (at, at[np.tile(hit, 2)], context, context[hit])), strict=True))
+    count = lambda x: np.bincount(x, minlength=len(own))
+    words = (own & U(1)) == 1
+    n = {"background": count(at), "target": count(at[np.tile(hit, 2)])}
+    ends = {"ends_background": n["background"] - count(context), "ends_target": n["target"] - count(context[hit])}
+    return n | {k: np.where(words, x, 0) for k, x in ends.items()}
 
 
 def target_places(packs: DataFrame, target: DataFrame) -> DataFrame:
@@ -118,6 +108,12 @@ def target_places(packs: DataFrame, target: DataFrame) -> DataFrame:
     return packs.select("pack_id", F.posexplode("ids").alias("pos", "id")).join(ids, "id").groupBy("pack_id").agg(F.collect_list("pos").alias("hits"))
 
 
+def _with_places(packs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The packs with their target documents; few places are broadcast, so that packs are not shuffled."""
+    few = (hits.agg(F.sum(F.size("hits"))).first()[0] or 0) <= BROADCAST_PLACES
+    return packs.join(F.broadcast(hits), "pack_id", "left") if few else _packs.with_notes(packs, hits)
+
+
 def totals(packs: DataFrame, hits: DataFrame) -> DataFrame:
     """Per (pack_id, bucket): what other packs add to the counts of the pack's distinct keys.
     A row of each bucket with a null pack_id has its number of words (kinds, then tokens in both)."""
@@ -151,7 +147,7 @@ def totals(packs: DataFrame, hits: DataFrame) -> DataFrame:
         return pd.concat([out, sums], ignore_index=True)
 
     kinds = ", ".join(f"{k} binary" for k in _COUNTS)
-    sent = _packs.each(_packs.with_notes(packs, hits), f"pack_id long, bucket long, keys binary, {kinds}", send)
+    sent = _packs.each(_with_places(packs, hits), f"pack_id long, bucket long, keys binary, {kinds}", send)
     return sent.groupBy("bucket").applyInPandas(add, f"pack_id long, bucket long, {kinds}, kinds long, n_background long, n_target long")
 
 
@@ -178,7 +174,8 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         told = row["answers"] or []
         for name, size in zip(("background", "target"), sizes, strict=True):
             # a pack has a row of each bucket that it sent to, in the order of its own keys
-            count, after = (here[k] + (np.concatenate([_wide(a[k]) for a in told]) if told else 0) for k in (name, f"after_{name}"))
+            count, ends = (here[k] + (np.concatenate([_wide(a[k]) for a in told]) if told else 0) for k in (name, f"ends_{name}"))
+            after = count - ends
             p = (count[word] + 0.5) / (size + 0.5 * (kinds + 1))
             seen = after[context]
             loss = -np.log(weight * np.where(seen > 0, np.minimum(count[pair], seen) / np.maximum(seen, 1), p) + (1 - weight) * p)
@@ -187,7 +184,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         real = lambda x: pa.array(x, pa.float64(), mask=none)
         yield table(id=pa.array(pack.raw_ids, pa.int64()), n_tokens=pa.array(n.astype(np.int64)), loss_target=real(mean[1]), loss_background=real(mean[0]), score=real(mean[0] - mean[1]))
 
-    return _packs.each(_packs.with_notes(_packs.with_notes(packs, answers), hits), "id long, n_tokens long, loss_target double, loss_background double, score double", judge)
+    return _packs.each(_with_places(_packs.with_notes(packs, answers), hits), "id long, n_tokens long, loss_target double, loss_background double, score double", judge)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
