@@ -12,18 +12,17 @@ repeat, nearly all of them, end there.
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm import _text
-from loomline.llm._scratch import written
+from loomline.llm._scratch import small_batches, written  # noqa: F401  used as part of this module
 
 U = np.uint64
 #: Bytes of text in a pack; a longer document is a pack of its own.
@@ -34,18 +33,6 @@ SEGMENT = 1 << 19
 LAST = np.iinfo(np.int64).max
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
-    """Arrow batches of a few megabytes, since a pack's row is large."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    was = spark.conf.get(key)
-    spark.conf.set(key, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
-
-
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Packs of all documents: pack_id, ids, sizes (bytes), blob (zstd; a line feed after each text)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
