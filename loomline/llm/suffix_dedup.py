@@ -9,8 +9,9 @@ loses a repeat:
    settled: their bytes go, and the smaller document has each of them too.
 2. An anchor (see :mod:`loomline.llm._packs`) of the other windows that occurs
    in more than one place brings its windows along, as one run of bytes.
-3. Runs go to buckets by the hash of their anchor, as many buckets as packs, a
-   block of each pack at most; equal runs of a pack are one. Equal windows have their anchor at the
+3. Runs go to buckets by the hash of their anchor, a bucket for some packs, a
+   block of each pack at most; equal runs of a pack are one. A bucket is solved
+   in parts of bounded size. Equal windows have their anchor at the
    same offset, so the suffixes that begin in the runs are sorted by anchor,
    offset and their first ``window`` bytes: multikey quicksort, eight bytes a
    key, to a shallow depth; groups that are still tied go on as blind tries.
@@ -51,6 +52,11 @@ CHUNK_BITS, CUT = 7, 16
 SHALLOW = 16
 #: Packs that hold an anchor from which on its windows travel one by one.
 HOT = 64
+#: Packs a bucket, at least half as many: with a bucket a pack there are as many blocks as the square of the packs, and
+#: what a block costs besides its bytes outgrows the rest from some gigabytes on.
+SHARE = 8
+#: Bytes of a bucket's runs that are sorted at once (runs of one anchor stay together).
+PART = 4 << 20
 
 
 def eight_bytes(buf: np.ndarray) -> np.ndarray:
@@ -195,19 +201,17 @@ def _bucket(key: np.ndarray, bits: int) -> np.ndarray:
     return _text.mix(key ^ U(0x2545F4914F6CDD1D)) >> U(64 - bits)
 
 
+def bucket_bits(packs: int) -> int:
+    return min(31, max(5, (packs // SHARE).bit_length()))
+
+
 def _resolve(window: int, k: int):
     """Of a bucket's runs, block by block: how many least documents are told of
     a run (none, one for all its windows, or one a window), and which."""
+    most = PART
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        import zstandard
-
-        n = [int(x) for x in part["n"]]
-        size, off, lo, more = (np.concatenate([P.unplanes(x) for x in part[c]]).astype(np.int64) for c in ("size", "off", "lo", "more"))
-        press = zstandard.ZstdDecompressor()
-        buf = np.frombuffer(b"".join([press.decompress(x) for x in part["text"]]), np.uint8)
+    def told_of(buf: np.ndarray, size: np.ndarray, off: np.ndarray, lo: np.ndarray, more: np.ndarray, key: np.ndarray, r1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = np.cumsum(size) - size
-        key, r1 = _run_keys(buf, begin, size, off, window, k)
         one, least, _, of = P.classes([key, r1], lo)
         key = key[one]
         alone = np.ones(len(key), bool)  # the only context of its anchor
@@ -221,7 +225,31 @@ def _resolve(window: int, k: int):
             flat[P.expand(place[many], count[many])[1]] = least_documents(buf, begin[one][many], count[many], key[many], off[one][many], least[many], window)
         low, high = np.minimum.reduceat(flat, place), np.maximum.reduceat(flat, place)
         told = np.where(low[of] >= lo + more, 0, np.where(low[of] == high[of], 1, count[of]))
-        values = flat[P.expand(place[of], told)[1]]
+        return told, flat[P.expand(place[of], told)[1]]
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        n = [int(x) for x in part["n"]]
+        size, off, lo, more = (np.concatenate([P.unplanes(x) for x in part[c]]).astype(np.int64) for c in ("size", "off", "lo", "more"))
+        press = zstandard.ZstdDecompressor()
+        buf = np.frombuffer(b"".join([press.decompress(x) for x in part["text"]]), np.uint8)
+        begin = np.cumsum(size) - size
+        key, r1 = np.empty(len(size), U), np.empty(len(size), U)
+        slices = np.flatnonzero(np.diff(begin // most, prepend=-1))
+        for x, y in zip(slices, np.append(slices[1:], len(size)), strict=True):
+            first, end = begin[x], begin[y - 1] + size[y - 1]
+            key[x:y], r1[x:y] = _run_keys(buf[first:end], begin[x:y] - first, size[x:y], off[x:y], window, k)
+        share = _text.mix(key ^ U(0x6A09E667F3BCC909)) % U(len(buf) // most + 1)
+        told, found = np.empty(len(size), np.int64), []
+        order = np.argsort(share, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(share[order])) + 1):
+            told[at], values = told_of(buf[P.expand(begin[at], size[at])[1]], size[at], off[at], lo[at], more[at], key[at], r1[at])
+            found.append((at, values))
+        place = np.cumsum(told) - told
+        values = np.empty(int(told.sum()), np.int64)
+        for at, x in found:
+            values[P.expand(place[at], told[at])[1]] = x
         ends = np.cumsum(n)[:-1]
         upto = np.concatenate(([0], np.cumsum(told)))[ends]
         return pd.DataFrame({"pack_id": part["pack_id"], "bucket": part["bucket"], "told": [P.planes(x) for x in np.split(told, ends)], "least": [P.planes(x) for x in np.split(values, upto)]})
@@ -315,7 +343,7 @@ def remove_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     raw_packs = P.packed(docs, id_col, text_col)
-    bits = P.bucket_bits(raw_packs)
+    bits = bucket_bits(raw_packs.count())
     with P.small_batches(spark):
         packs = settled(raw_packs, window, bits)
     dropped(raw_packs)
