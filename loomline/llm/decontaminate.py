@@ -69,20 +69,18 @@ def _own_shingles(words: str) -> Column:
     return F.expr(f"CASE {whole} ELSE {_shingles(words, SHINGLE)} END")
 
 
-def simhash(words: str, seed: int, most: int) -> Column:
-    """The 64-bit SimHash of an array of word hashes. Words are counted for
-    several bits at once, in fields of a long that hold up to ``most`` words."""
+def fingerprints(words: str, prints: int, most: int) -> Column:
+    """The 64-bit SimHashes of an array of word hashes, under the seeds 0 to
+    ``prints - 1``. Words are counted for several bits at once, in fields of a
+    long that hold up to ``most`` words. Bits, lanes and seeds are looped over,
+    not written out: the driver rewrites and prints its plans many times."""
     width = 8 if most < 1 << 8 else 16 if most < 1 << 16 else 32
     field = sum(1 << k for k in range(0, 64, width))
-    lanes = ", ".join(f"aggregate(v, 0L, (a, x) -> a + (shiftrightunsigned(x, {j}) & {field}L))" for j in range(width))
     ones = (1 << width) - 1
-    bits = " + ".join(f"CASE WHEN (shiftrightunsigned(lane[{j}], {k}) & {ones}L) * 2 > size({words}) THEN shiftleft(1L, {k + j}) ELSE 0L END" for k in range(0, 64, width) for j in range(width))
-    hashed = f"array(transform({words}, x -> xxhash64(x, {seed})))"
-    return F.expr(f"transform(transform({hashed}, v -> array({lanes})), lane -> {bits})[0]")
-
-
-def fingerprints(words: str, prints: int, most: int) -> Column:
-    return F.array(*(simhash(words, k, most) for k in range(prints)))
+    lanes = f"transform(sequence(0, {width - 1}), j -> aggregate(v, 0L, (a, x) -> a + (shiftrightunsigned(x, j) & {field}L)))"
+    bits = f"aggregate(sequence(0, 63), 0L, (a, b) -> a + CASE WHEN (shiftrightunsigned(lane[b % {width}], b - b % {width}) & {ones}L) * 2 > size({words}) THEN shiftleft(1L, b) ELSE 0L END)"
+    hashed = f"transform(sequence(0, {prints - 1}), k -> transform({words}, x -> xxhash64(x, k)))"
+    return F.expr(f"transform(transform({hashed}, v -> {lanes}), lane -> {bits})")
 
 
 def chance_missed(radius: int, threshold: float) -> float:
